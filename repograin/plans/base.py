@@ -34,18 +34,32 @@ def cte(name: str, sql: str) -> None:
 def compose(sql: str) -> str:
     """Prefix the statement with the named sub-queries it uses."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", text):
-            if name in CTES and name not in order:
+            if name in CTES and name not in seen:
+                seen.add(name)
                 visit(CTES[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(sql)
     if not order:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in order) + "\n" + sql
+    parts = [f"{n} AS {'' if 'FROM ' + n in CTES[n] else 'MATERIALIZED '}({CTES[n]})" for n in order]
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + sql
+
+
+def frame(name: str):
+    """Add a derived frame to :class:`Context`, built once per run."""
+
+    def wrap(fn):
+        prop = cached_property(fn)
+        prop.__set_name__(Context, name)
+        setattr(Context, name, prop)
+        return fn
+
+    return wrap
 
 
 class Context:

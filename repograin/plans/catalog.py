@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["markers", "documents"]
+MODULES = ["markers", "documents", "sources", "status"]
 
 for _name in MODULES:
     importlib.import_module(f"repograin.plans.{_name}")

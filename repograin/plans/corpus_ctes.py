@@ -14,7 +14,7 @@ cte(
     "raw_files",
     f"""SELECT {C.REPO_SQL} AS repo, {C.fill_sql("path_t")} AS path, concat({C.fill_sql(f"concat(head_t, {_MARKERS}[doc_id % 7 + 1])")}, text) AS content,
         1700000000 + doc_id * 60 AS modified
-        FROM (SELECT *, CASE WHEN doc_id % 40 = 14 THEN 'readme' ELSE {_TABLE}[{_ECO} * {C.SLOTS} + doc_id % {C.SLOTS} + 1] END AS kind FROM documents) AS d JOIN {_KINDS} USING (kind)
+        FROM (SELECT *, {_TABLE}[{_ECO} * {C.SLOTS} + doc_id % {C.SLOTS} + 1] AS kind FROM documents) AS d JOIN {_KINDS} USING (kind)
         UNION ALL SELECT {C.REPO_SQL}, {C.fill_sql("path_t")}, {C.fill_sql("text_t")}, 1700000000 + doc_id * 60
         FROM documents JOIN {_MANIFESTS} ON doc_id % 40 = 0 AND eco = {_ECO}""",
 )

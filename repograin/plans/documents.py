@@ -8,53 +8,46 @@ from repograin.functions.text import words
 from repograin.operators import claims, documents
 from repograin.plans import corpus_ctes  # noqa: F401
 from repograin.plans.base import (
-    Context, by_position, case_any, case_map, cte, fold, has_any, hit_list, q, query, regex_hits, rnd, values, words_sql,
+    by_position, case_any, case_map, cte, fold, frame, has_any, hit_list, q, query, regex_hits, rnd, values, words_sql,
 )
 from repograin.rules import documents as D
+from repograin.session import cut_lineage
 from repograin.sources.corpus import claim_files, documentation_files
 
 
-def _frame(name):
-    def wrap(fn):
-        setattr(Context, name, property(fn))
-        return fn
-
-    return wrap
-
-
-@_frame("docs")
+@frame("docs")
 def _(c):
     return documentation_files(c.files)
 
 
-@_frame("sections")
+@frame("sections")
 def _(c):
     return documents.sections(c.docs)
 
 
-@_frame("technologies")
+@frame("technologies")
 def _(c):
     return documents.technologies(c.docs)
 
 
-@_frame("commands")
+@frame("commands")
 def _(c):
     return documents.setup_commands(c.docs)
 
 
-@_frame("coverage")
+@frame("coverage")
 def _(c):
     return documents.coverage(c.repos, c.sections, c.commands)
 
 
-@_frame("raw_claims")
+@frame("raw_claims")
 def _(c):
     return claims.extract(claim_files(c.files))
 
 
-@_frame("claims")
+@frame("claims")
 def _(c):
-    return claims.final(claim_files(c.files))
+    return cut_lineage(claims.final(claim_files(c.files)))
 
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+\z', '', 'g')"

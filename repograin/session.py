@@ -38,4 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and fixes partition contents."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.persist()  # the checkpoint job would compute the plan a second time
+    try:
+        return kept.checkpoint(eager=True)
+    finally:
+        kept.unpersist()

@@ -143,6 +143,16 @@ KINDS: dict[str, tuple[str, str]] = {
         "## Setup\nnpm install express\ndocker build .\n## Quick Start\nRun the server, a command line tool is included.\n"
         "## License\nMIT\n",
     ),
+    "jvmguide": (
+        "docs/guide_{id}.md",
+        "# About\nThe Java backend includes order and billing modules, powered by Spring Boot and MySQL.\nA React client is planned.\n"
+        "## Getting Started\nmvn clean install\nRequirements: Java 1{v}.0 dependencies.\n## Usage\nAble to audit user management over https.\n",
+    ),
+    "jvmreadme": (
+        "README.md",
+        "# shop-unit-{r}\nAn API server for inventory reports.\n## What is it\nA backend service using Kubernetes, sibling of the shop-unit-{n} system.\n"
+        "## Installation\ngradle build\n## Examples\nSee the guide.\n",
+    ),
     "vendored": ("node_modules/lib_{id}/index.js", "module.exports = function () {}\n// TODO vendored code\n"),
     "pytest": (
         "tests/test_case_{id}.py",
@@ -161,7 +171,9 @@ ECOSYSTEMS: list[list[str]] = [
     ["danet", "danetservice", "nestservice"],
     ["flask", "react", "nestcontroller", "springcontroller", "axum", "fastapi", "nextapi", "pyservice", "jpa", "express"],
 ]
-FIXED_SLOTS = {4: "guide", 6: "vendored", 7: "pytest", 14: "architecture", 16: "docker", 17: "workflow"}
+FIXED_SLOTS = {4: "guide", 6: "vendored", 7: "pytest", 14: "readme", 16: "docker", 17: "workflow", 24: "guide", 26: "vendored", 27: "pytest", 34: "architecture", 36: "docker", 37: "workflow"}
+# Kinds that replace another one in an ecosystem.
+VARIANTS = {(2, "guide"): "jvmguide", (2, "readme"): "jvmreadme"}
 
 MARKERS = [
     "# TODO: urgent login check @dev{v} 2024-01-0{d} #auth #team-{v}\n",
@@ -238,9 +250,13 @@ _FILL = {
 
 REPO_NO_SQL = "CAST(floor(doc_id / 40) AS BIGINT)"
 REPO_SQL = f"concat('shop-unit-', CAST({REPO_NO_SQL} AS STRING))"
-SLOTS = 20
+SLOTS = 40
 # Position: ecosystem * SLOTS + slot.
-KIND_TABLE = [FIXED_SLOTS.get(slot, kinds[slot % len(kinds)]) for kinds in ECOSYSTEMS for slot in range(SLOTS)]
+KIND_TABLE = [
+    VARIANTS.get((eco, FIXED_SLOTS.get(slot)), FIXED_SLOTS.get(slot, kinds[slot % 20 % len(kinds)]))
+    for eco, kinds in enumerate(ECOSYSTEMS)
+    for slot in range(SLOTS)
+]
 
 
 def fill_sql(template: str) -> str:
@@ -276,7 +292,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     eco = F.expr(f"{REPO_NO_SQL} % {len(ECOSYSTEMS)}")
     slot = (eco * SLOTS + F.col("doc_id") % SLOTS + 1).cast("int")
-    kind = F.when(F.expr("doc_id % 40 = 14"), "readme").otherwise(F.element_at(F.array(*[F.lit(k) for k in KIND_TABLE]), slot))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KIND_TABLE]), slot)
     marker = F.element_at(F.array(*[F.lit(m) for m in MARKERS]), (F.col("doc_id") % 7 + 1).cast("int"))
     repo, modified = F.expr(REPO_SQL).alias("repo"), (F.lit(1700000000) + F.col("doc_id") * 60).alias("modified")
     body = docs.withColumn("kind", kind).select(

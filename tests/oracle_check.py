@@ -73,7 +73,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
         if cols != dcols:
             msg += f"\n  columns {cols} vs {dcols}"
         else:
-            msg += f"\n  rows {n} vs {sum(want.values())}; only spark {list((got - want).items())[:3]}\n  only duck {list((want - got).items())[:3]}"
+            msg += f"\n  rows {n} vs {sum(want.values())}; only spark {list((got - want).items())[:2]}\n  only duck {list((want - got).items())[:2]}"
     return ok, msg
 
 
@@ -96,9 +96,9 @@ def main():
         try:
             ok, msg = compare(spark, con, name, fn, sqls.get(name), args.sf)
         except Exception as exc:  # report and go on with the next query
-            ok, msg = False, f"{name}: ERROR {str(exc)[:700]}"
+            ok, msg = False, f"{name}: ERROR {str(exc)[:350]}"
         bad += not ok
-        print(msg[:2500], flush=True)
+        print(msg[:900], flush=True)
     print("FAILED" if bad else "PASSED", bad)
 
 
