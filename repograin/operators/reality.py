@@ -142,28 +142,22 @@ def leaders(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
         .where(F.col("earlier") < F.col("id"))
         .select(*keys, "id", "earlier")
     )
-    edges = cut_lineage(edges)
-    spark = rows.sparkSession
-    followers = None  # (keys, id, leader) settled as members
-    open_edges, open_ids = edges, cut_lineage(edges.select(*keys, "id").distinct())
-    members = spark.createDataFrame([], "repo string, reality_type string, id string, leader string")
-    while not open_ids.isEmpty():
-        # Earlier partners that are members can no longer lead; others outside the open set do.
-        waiting = open_edges.join(open_ids.select(*keys, F.col("id").alias("earlier")), [*keys, "earlier"], "left_semi")
-        blocked = waiting.select(*keys, "id").distinct()
-        ready = open_ids.join(blocked, [*keys, "id"], "left_anti")
-        led = (
-            open_edges.join(ready, [*keys, "id"], "left_semi").groupBy(*keys, "id").agg(F.min("earlier").alias("leader"))
+    open_edges = cut_lineage(edges)
+    members = rows.sparkSession.createDataFrame([], "repo string, reality_type string, id string, leader string")
+    while not open_edges.isEmpty():
+        # A partner that is itself open is not settled yet; all others lead.
+        ids = open_edges.select(*keys, F.col("id").alias("earlier")).distinct().withColumn("open", F.lit(True))
+        rounds = cut_lineage(
+            open_edges.join(ids, [*keys, "earlier"], "left").groupBy(*keys, "id")
+            .agg(F.bool_or(F.coalesce("open", F.lit(False))).alias("waits"), F.min("earlier").alias("leader"))
         )
-        followers = cut_lineage(led)
-        members = members.unionByName(followers)
-        gone = followers.select(*keys, F.col("id").alias("earlier"))
-        settled = cut_lineage(ready)
-        next_open = cut_lineage(open_ids.join(settled, [*keys, "id"], "left_anti"))
+        joined = rounds.where(~F.col("waits")).select(*keys, "id", "leader")
+        members = members.unionByName(joined)
+        # A member cannot lead: its edges go; an id left without edges leads.
         open_edges = cut_lineage(
-            open_edges.join(next_open, [*keys, "id"], "left_semi").join(gone, [*keys, "earlier"], "left_anti")
+            open_edges.join(rounds.where("waits"), [*keys, "id"], "left_semi")
+            .join(joined.select(*keys, F.col("id").alias("earlier")), [*keys, "earlier"], "left_anti")
         )
-        open_ids = next_open
     assigned = nodes.join(members, [*keys, "id"], "left").select(*keys, "tokens", F.coalesce("leader", "id").alias("leader"))
     return named.join(assigned, [*keys, "tokens"]).select(*keys, "description", "leader")
 

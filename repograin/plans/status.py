@@ -363,8 +363,8 @@ cte(
 _CRUD_FLAT = [(op, i, p) for op, ps in R.CRUD for i, p in enumerate(ps)]
 cte(
     "op_windows",
-    f"""SELECT repo, path, operation, pattern_no, trim(text) AS text, lower(substr(content, greatest(at - 200, 1), at - greatest(at - 200, 1) + length(text) + 200)) AS win FROM
-        (SELECT *, strpos(content, text) AS at FROM (SELECT repo, path, content, {by_position("k", [q(o) for o, _, _ in _CRUD_FLAT])} AS operation, {by_position("k", [str(i) for _, i, _ in _CRUD_FLAT])} AS pattern_no,
+    f"""SELECT repo, path, operation, pattern_no, trim(text) AS text, lower(substr(content, greatest(pos - 200, 1), pos - greatest(pos - 200, 1) + length(text) + 200)) AS win FROM
+        (SELECT *, strpos(content, text) AS pos FROM (SELECT repo, path, content, {by_position("k", [q(o) for o, _, _ in _CRUD_FLAT])} AS operation, {by_position("k", [str(i) for _, i, _ in _CRUD_FLAT])} AS pattern_no,
          {by_position("k", [f"regexp_extract(content, {q(p)})" for _, _, p in _CRUD_FLAT])} AS text FROM (SELECT repo, path, content, unnest({regex_hits("content", [p for _, _, p in _CRUD_FLAT])}) AS k FROM (SELECT repo, path, {fold("content")} AS content FROM crud_files))))""",
 )
 _LAYER = "CASE " + " ".join(f"WHEN {has_any('w.path', ws)} THEN '{n}'" for n, ws in R.LAYERS) + " END"
