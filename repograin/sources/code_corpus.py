@@ -61,7 +61,7 @@ KINDS: dict[str, tuple[str, str]] = {
     ),
     "react": (
         "src/components/UserCard{id}.tsx",
-        "import React, { useState, useEffect } from 'react';\nimport axios from 'axios';\nimport { Button } from './Button{v}';\n"
+        "import React, { useState, useEffect } from 'react';\nimport axios from 'axios';\nimport { Button } from './Button{v}';\nimport App from 'App';\n"
         "interface UserCard{id}Props {\n  userName: string;\n  age?: number;\n}\n"
         "export const UserCard{id}: React.FC<UserCard{id}Props> = ({ userName, age }) => {\n"
         "  const [user, setUser] = useState(null);\n  useEffect(() => { fetch('/api/users/{id}').then(r => r.json()); }, []);\n"
