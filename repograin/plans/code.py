@@ -19,7 +19,7 @@ def _(c):
 
 @frame("components")
 def _(c):
-    return components.table(c.files)
+    return cut_lineage(components.table(c.files))
 
 
 @frame("stories")

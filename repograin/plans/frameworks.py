@@ -9,12 +9,13 @@ from repograin.plans import status as status_plan  # noqa: F401
 from repograin.plans.base import case_map, cte, frame, has_any, hit_list, q, query, rnd
 from repograin.plans.corpus_ctes import IGNORED
 from repograin.rules import frameworks as W
+from repograin.session import cut_lineage
 from repograin.sources.code_corpus import REPO_NO_SQL, REPO_SQL
 
 
 @frame("flags")
 def _(c):
-    return fw_ops.flags(c.repos, c.files)
+    return cut_lineage(fw_ops.flags(c.repos, c.files))
 
 
 @frame("ecosystem")
@@ -148,7 +149,7 @@ cte("dispatched", f"SELECT repo, framework, confidence, extent, ecosystem FROM f
 
 @frame("dispatched")
 def _(c):
-    return fw_ops.dispatch(c.fw_confidence, c.ecosystem).select("repo", "framework", "confidence", "extent", "ecosystem")
+    return cut_lineage(fw_ops.dispatch(c.fw_confidence, c.ecosystem).select("repo", "framework", "confidence", "extent", "ecosystem"))
 
 
 @query("f14_ecosystem_dispatch", "SELECT * FROM dispatched")

@@ -140,7 +140,7 @@ KINDS: dict[str, tuple[str, str]] = {
         "README.md",
         "# shop-unit-{r}\nA web app for online store orders and payment.\n## About\n"
         "An e-commerce platform component with login, product catalog and checkout, part of the shop-unit-{n} parent project.\n"
-        "## Setup\nnpm install express\ndocker build .\n## Quick Start\nRun the server, a command line tool is included.\n"
+        "## Setup\nnpm install express\ndocker build .\n## Quick Start\nRun the server, a command line tool is included to format reports.\n"
         "## License\nMIT\n",
     ),
     "jvmguide": (
