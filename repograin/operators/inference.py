@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repograin.functions.containment import containing
 from repograin.functions.scores import r6
 from repograin.functions.text import contains_any, file_name, rx
 from repograin.registry import operator
@@ -73,35 +74,13 @@ def layer(path: Column) -> Column:
     return out
 
 
-def _grams(text: Column, n: int) -> Column:
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(
-        F.array().cast("array<string>")
-    )
-
-
 @operator("inference.crud_hits")
 def crud_hits(ents: DataFrame, windows: DataFrame) -> DataFrame:
-    """Windows that hold an entity's name: (repo, name, operation, hits, layers).
-
-    Each distinct name is looked up by its rarest three-character piece, so a
-    common beginning of many names does not pair them with every window; the
-    full name is checked after the join. Hits are summed, never gathered.
-    """
+    """Windows that hold an entity's name: (repo, name, operation, hits, layers)."""
     names = ents.select("repo", F.lower("name").alias("name")).distinct()
-    pieces = names.select(
-        "repo", "name", F.explode(F.when(F.length("name") < 3, F.array("name")).otherwise(F.array_distinct(_grams(F.col("name"), 3)))).alias("piece")
-    )
-    rare = pieces.groupBy("repo", "piece").agg(F.count("*").alias("n"))
-    keyed = (
-        pieces.join(rare, ["repo", "piece"]).groupBy("repo", "name").agg(F.min(F.struct("n", "piece")).alias("m"))
-        .select("repo", "name", F.col("m.piece").alias("piece"))
-    )
-    text = F.col("window")
-    spread = windows.select(
-        "repo", "path", "operation", "pattern_no", "window",
-        F.explode(F.array_distinct(F.concat(_grams(text, 3), _grams(text, 2), _grams(text, 1)))).alias("piece"),
-    )
-    found = spread.join(keyed, ["repo", "piece"]).where(F.contains("window", "name"))
+    keyed = windows.withColumn("id", F.concat_ws(":", "path", "operation", "pattern_no"))
+    pairs = containing(keyed.select("repo", "id", F.col("window").alias("text")), names, "repo")
+    found = pairs.join(keyed.select("repo", "id", "path", "operation"), ["repo", "id"])
     return found.groupBy("repo", "name", "operation").agg(
         F.count("*").alias("hits"), F.array_sort(F.collect_set(layer(F.col("path")))).alias("layers")
     ).withColumn("confidence", F.least(F.col("hits") * 20, F.lit(100)) / 100.0)

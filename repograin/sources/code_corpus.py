@@ -41,7 +41,7 @@ KINDS: dict[str, tuple[str, str]] = {
         "src/services/payment_service_{id}.py",
         "import stripe\nimport os\nfrom django.db import models\nclass PaymentService{v}:\n"
         "    def create_order(self, user):\n        invoice = stripe.charge(amount)\n        order.save()\n"
-        "    def delete_order(self, order):\n        if user:\n            print(user)\n        pass\n"
+        "    def generate_report(self):\n        return metrics\n    def delete_order(self, order):\n        if user:\n            print(user)\n        pass\n"
         "    def update_order(self, order):\n        for item in cart:\n            product.update()\n",
     ),
     "nestservice": (
@@ -55,7 +55,7 @@ KINDS: dict[str, tuple[str, str]] = {
     "nestcontroller": (
         "src/controllers/order_{id}.controller.ts",
         "import { Controller, Get, Post } from '@nestjs/common';\nimport axios from 'axios';\n@Controller('orders')\n"
-        "export class OrderController{v} {\n  @Get('/orders/{id}')\n  async getOrder(id: string) {\n"
+        "export class OrderController{v} {\n  @ApiOperation()\n  @Get('/orders/{id}')\n  async getOrder(id: string) {\n"
         "    return axios.get('/orders/{id}');\n  }\n  @Post('/orders')\n  createOrder(order: OrderDto) {\n"
         "    fetch('/api/checkout/{v}');\n  }\n  @Delete('/orders/{id}')\n  deleteOrder(id) {\n    return order.delete();\n  }\n}\n",
     ),
@@ -189,7 +189,7 @@ MARKERS = [
 MANIFESTS: list[list[tuple[str, str]]] = [
     [
         ("requirements.txt", "# deps\nFlask==2.{r}\nFlask-Login>=0.6\nbcrypt>=4.0\npandas\nfastapi~=0.110\nuvicorn<1\nclick\n"),
-        ("app.py", "app = Flask(__name__)\n"),
+        ("app.py", "from flask import Flask\napp = Flask(__name__)\ndef create_app():\n    return login_{id}\n"),
     ],
     [
         (
@@ -200,9 +200,9 @@ MANIFESTS: list[list[tuple[str, str]]] = [
             '"devDependencies":{"jest":"^29.0.0","typescript":"5.0.{v}"}}',
         ),
         ("tsconfig.json", "{}\n"),
-        ("src/App.tsx", "import React from 'react';\nexport default App;\n"),
+        ("src/App.tsx", "import React from 'react';\nexport default function App() {\n  return <Main/>;\n}\n"),
         ("nest-cli.json", "{}\n"),
-        ("src/main.ts", "bootstrap();\n"),
+        ("src/main.ts", "export function bootstrap() {\n  App.render();\n}\n"),
     ],
     [
         (
