@@ -142,20 +142,22 @@ def leaders(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
         .where(F.col("earlier") < F.col("id"))
         .select(*keys, "id", "earlier")
     )
-    open_edges = cut_lineage(edges)
     members = rows.sparkSession.createDataFrame([], "repo string, reality_type string, id string, leader string")
-    while not open_edges.isEmpty():
+    open_edges = edges
+    while True:
         # A partner that is itself open is not settled yet; all others lead.
         ids = open_edges.select(*keys, F.col("id").alias("earlier")).distinct().withColumn("open", F.lit(True))
-        rounds = cut_lineage(
-            open_edges.join(ids, [*keys, "earlier"], "left").groupBy(*keys, "id")
-            .agg(F.bool_or(F.coalesce("open", F.lit(False))).alias("waits"), F.min("earlier").alias("leader"))
+        state = open_edges.join(ids, [*keys, "earlier"], "left").groupBy(*keys, "id").agg(
+            F.bool_or(F.coalesce("open", F.lit(False))).alias("waits"), F.min("earlier").alias("leader")
         )
-        joined = rounds.where(~F.col("waits")).select(*keys, "id", "leader")
+        marked = cut_lineage(open_edges.join(state, [*keys, "id"]))
+        if marked.isEmpty():
+            break
+        joined = marked.where(~F.col("waits")).select(*keys, "id", "leader").distinct()
         members = members.unionByName(joined)
         # A member cannot lead: its edges go; an id left without edges leads.
-        open_edges = cut_lineage(
-            open_edges.join(rounds.where("waits"), [*keys, "id"], "left_semi")
+        open_edges = (
+            marked.where("waits").select(*keys, "id", "earlier")
             .join(joined.select(*keys, F.col("id").alias("earlier")), [*keys, "earlier"], "left_anti")
         )
     assigned = nodes.join(members, [*keys, "id"], "left").select(*keys, "tokens", F.coalesce("leader", "id").alias("leader"))
