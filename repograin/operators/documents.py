@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from repograin.functions.needles import folded, quick_match
 from repograin.functions.scores import r6
-from repograin.functions.text import bare as bare_pattern, contains_any, first_label, lines, lookup, matches, squeeze
+from repograin.functions.text import bare as bare_pattern, contains_any, first_label, let, lines, lookup, squeeze
 from repograin.registry import operator
 from repograin.rules import documents as D
 
@@ -105,12 +106,17 @@ def config_notes(context: Column) -> Column:
 def technologies(docs: DataFrame) -> DataFrame:
     """One row per technology and repository, from the first file that names it."""
     content = F.col("content")
-    hits = F.array_compact(
-        F.array(*[F.when(matches(content, p), F.struct(F.lit(n).alias("name"), match_context(content, p).alias("context"))) for n, p in D.TECHNOLOGIES])
-    )
+
+
+    def named(low: Column) -> Column:
+        rows = [
+            F.when(quick_match(content, low, p), F.struct(F.lit(n).alias("name"), match_context(content, p).alias("context"))) for n, p in D.TECHNOLOGIES
+        ]
+        return F.array_compact(F.array(*rows))
+
     context = F.col("context")
     return (
-        docs.select("repo", "path", F.explode(hits).alias("t"))
+        docs.select("repo", "path", F.explode(let(folded(content), named)).alias("t"))
         .groupBy("repo", F.col("t.name").alias("name"))
         .agg(F.min(F.struct("path", "t.context")).alias("m"))
         .select("repo", "name", "m.path", F.col("m.context").alias("context"))

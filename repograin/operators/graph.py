@@ -102,7 +102,7 @@ def contexts(segments: DataFrame, found: DataFrame) -> DataFrame:
     out = found.groupBy("repo", "segment_id").agg(F.count("*").alias("deps"))
     inc = found.select("repo", F.col("target").alias("module"), F.col("module").alias("by")).distinct().groupBy("repo", "module").agg(F.count("*").alias("dependents"))
     base = segments.withColumn("module", F.lower(file_stem(F.col("path")))).withColumn("purpose", first_label(F.lower("content"), X.PURPOSES, None))
-    return base.drop("content", "header").join(out, ["repo", "segment_id"], "left").join(inc, ["repo", "module"], "left").fillna(0, ["deps", "dependents"]).withColumn(
+    return base.drop("content", "header", "pattern_hits").join(out, ["repo", "segment_id"], "left").join(inc, ["repo", "module"], "left").fillna(0, ["deps", "dependents"]).withColumn(
         "points", F.lit(X.SEGMENT_CONFIDENCE)
     )
 

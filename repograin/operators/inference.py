@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repograin.functions.containment import containing
+from repograin.functions.needles import folded, quick_match
 from repograin.functions.scores import r6
-from repograin.functions.text import contains_any, file_name, rx
+from repograin.functions.text import contains_any, file_name, let, rx
 from repograin.registry import operator
 from repograin.rules import reality as R
 
@@ -54,15 +55,22 @@ def entities(files: DataFrame) -> DataFrame:
 def operation_windows(files: DataFrame) -> DataFrame:
     """First match of every operation pattern per file, with 200 characters on both sides."""
     content = F.col("content")
-    hits = []
-    for op, patterns in R.CRUD:
-        for i, p in enumerate(patterns):
-            text = F.regexp_extract(content, rx(p), 0)
-            hits.append(F.when(text != "", F.struct(F.lit(op).alias("operation"), F.lit(i).alias("pattern_no"), text.alias("text"))))
+
+    def first_hits(low: Column) -> Column:
+        hits = [
+            F.when(
+                quick_match(content, low, p),
+                F.struct(F.lit(op).alias("operation"), F.lit(i).alias("pattern_no"), F.regexp_extract(content, rx(p), 0).alias("text")),
+            )
+            for op, patterns in R.CRUD
+            for i, p in enumerate(patterns)
+        ]
+        return F.array_compact(F.array(*hits))
+
     at = F.instr("content", F.col("h.text"))
     start = F.greatest(at - 200, F.lit(1))
     window = F.lower(F.substring("content", start, at - start + F.length("h.text") + 200))
-    return source_files(files).select("repo", "path", "content", F.explode(F.array_compact(F.array(*hits))).alias("h")).select(
+    return source_files(files).select("repo", "path", "content", F.explode(let(folded(content), first_hits)).alias("h")).select(
         "repo", "path", "h.operation", "h.pattern_no", F.trim("h.text").alias("text"), window.alias("window")
     )
 

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repograin.functions.facets import facet_counts
+from repograin.functions.needles import folded, quick_match
 from repograin.functions.scores import r6
 from repograin.functions.similarity import similar_sets
-from repograin.functions.text import bare, file_name, let, lines, lookup, rx, words
+from repograin.functions.text import file_name, let, lines, lookup, rx, words
 from repograin.registry import operator
 from repograin.rules import reality as R
 from repograin.rules.documents import KEYWORD_BONUS
 from repograin.session import cut_lineage
 
-ANY_EVIDENCE = "(?iU)(?:" + "|".join(bare(p) for _, ps in R.EVIDENCE for p in ps) + ")"
+RULES = [(t, i, p) for t, (_, ps) in enumerate(R.EVIDENCE) for i, p in enumerate(ps)]
 
 
 def level(points: Column) -> Column:
@@ -25,22 +26,32 @@ def level(points: Column) -> Column:
 
 
 def _hits(content: Column) -> Column:
-    """``array<struct<type_no,line_no,pattern_no,snippet>>`` of one file, in line order."""
+    """``array<struct<type_no,line_no,pattern_no,snippet>>`` of one file, in line order.
 
-    def of_line(x: Column) -> Column:
+    Each pattern is tried once on the whole text; only patterns that occur
+    somewhere are tried on the single lines. A match inside a line is also one
+    inside the text, so nothing is lost.
+    """
+
+    def occurring(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(quick_match(content, low, p), F.lit(n)) for n, (_, _, p) in enumerate(RULES)]))
+
+    def of_line(found: Column, x: Column) -> Column:
         snippet = F.regexp_replace(x["line"], r"^\s+|\s+\z", "")
         tests = [
             F.when(
-                x["line"].rlike(rx(p)),
+                F.array_contains(found, F.lit(n)) & x["line"].rlike(rx(p)),
                 F.struct(F.lit(t).alias("type_no"), x["line_no"].alias("line_no"), F.lit(i).alias("pattern_no"), snippet.alias("snippet")),
             )
-            for t, (_, ps) in enumerate(R.EVIDENCE)
-            for i, p in enumerate(ps)
+            for n, (t, i, p) in enumerate(RULES)
         ]
         return F.array_compact(F.array(*tests))
 
-    numbered = F.transform(lines(content), lambda l, i: F.struct((i + 1).alias("line_no"), l.alias("line")))
-    return F.flatten(F.transform(F.filter(numbered, lambda x: x["line"].rlike(ANY_EVIDENCE)), of_line))
+    def in_file(found: Column) -> Column:
+        numbered = F.transform(lines(content), lambda l, i: F.struct((i + 1).alias("line_no"), l.alias("line")))
+        return F.flatten(F.transform(F.when(F.size(found) > 0, numbered).otherwise(F.slice(numbered, 1, 0)), lambda x: of_line(found, x)))
+
+    return let(let(folded(content), occurring), in_file)
 
 
 @operator("reality.evidence")

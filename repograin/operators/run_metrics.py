@@ -52,7 +52,7 @@ def phase_gaps(events: DataFrame) -> DataFrame:
     gaps = e.withColumn("within", F.lead("ts").over(inside)).join(nexts, ["run", "phase", "day"])
     ended = F.coalesce("within", "next_day")
     return gaps.withColumn("ended", ended).where("ended IS NOT NULL").select(
-        "run", "phase", "seq", F.col("ts").alias("started"), ((F.unix_micros("ended") - F.unix_micros("ts")) / 1000000.0).alias("seconds")
+        "run", "phase", "seq", F.col("ts").alias("started"), (F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("ended")) / 1000000.0).alias("seconds")
     )
 
 

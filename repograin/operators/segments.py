@@ -69,9 +69,17 @@ def extract(files: DataFrame) -> DataFrame:
         F.concat_ws(":", "path", "header_line", "name").alias("segment_id"), "*",
         F.when((F.col("kind") == "Class") & model, "Database").otherwise(F.col("kind")).alias("segment_type"),
         hints(F.lower("content"), F.col("language")).alias("hints"),
+        pattern_hits(F.lower("content")).alias("pattern_hits"),
     )
 
 
+def pattern_hits(text: Column) -> Column:
+    """Framework patterns the text shows, whichever framework the segment turns out to have."""
+    return F.array_compact(F.array(*[
+        F.when(contains_any(text, ws), F.struct(F.lit(f).alias("framework"), F.lit(n).alias("pattern"))) for f, n, ws in SEGMENT_PATTERNS
+    ]))
+
+
 def hints(text: Column, language: Column) -> Column:
     out = None
     for lang, groups in K.HINTS.items():
@@ -207,10 +215,14 @@ def framework(segments: DataFrame, detected: DataFrame) -> DataFrame:
 
 @operator("segments.patterns")
 def patterns(segments: DataFrame) -> DataFrame:
-    """Named framework patterns per segment that belongs to the framework."""
-    low = F.lower("content")
-    tests = F.array_compact(F.array(*[F.when((F.col("framework") == f) & contains_any(low, ws), F.lit(n)) for f, n, ws in SEGMENT_PATTERNS]))
-    return segments.where(F.col("framework").isNotNull()).select("repo", "segment_id", "framework", "hints", F.explode(tests).alias("pattern"))
+    """Named framework patterns per segment that belongs to the framework.
+
+    The texts were tested when the segments were cut, so none is shuffled here.
+    """
+    own = F.filter("pattern_hits", lambda h: h["framework"] == F.col("framework"))
+    return segments.where(F.col("framework").isNotNull()).select("repo", "segment_id", "framework", "hints", F.explode(own).alias("h")).select(
+        "repo", "segment_id", "framework", "hints", "h.pattern"
+    )
 
 
 @operator("segments.statistics")

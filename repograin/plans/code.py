@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from repograin.functions.scores import r6
 from repograin.operators import components, segments
 from repograin.plans import frameworks as fw_plan  # noqa: F401
-from repograin.plans.base import by_position, case_any, case_map, cte, frame, has_any, hit_list, q, query, regex_hits, rnd, values
-from repograin.plans.corpus_ctes import IGNORED
+from repograin.plans.base import by_position, case_map, cte, frame, has_any, hit_list, q, query, rnd, values
+
 from repograin.rules import code as K
 from repograin.rules.frameworks import SEGMENT_PATTERNS
 from repograin.session import cut_lineage

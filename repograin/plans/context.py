@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from repograin.functions.scores import r6
 from repograin.operators import fusion, graph, grounding
 from repograin.plans import domains as domains_plan  # noqa: F401
-from repograin.plans.base import case_any, case_map, cte, frame, has_any, hit_list, q, query, rnd, values
+from repograin.plans.base import case_any, case_map, cte, frame, has_any, q, query, rnd, values
 from repograin.rules import context as X
 from repograin.session import cut_lineage
 

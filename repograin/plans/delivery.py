@@ -1,15 +1,12 @@
 """Queries on cross-repository links, insights, corrections, scoring, history, metrics, exports."""
 
-import datetime
-
 from pyspark.sql import functions as F
 
-from repograin.functions.ranking import running_number
 from repograin.functions.scores import r6
 from repograin.operators import components as comp_ops
 from repograin.operators import corrections, crossrepo, exports, history, insights, run_metrics, scoring
 from repograin.plans import context as context_plan  # noqa: F401
-from repograin.plans.base import by_position, case_any, case_map, cte, fold, frame, has_any, hit_list, q, query, rnd, values
+from repograin.plans.base import case_any, case_map, cte, fold, frame, has_any, q, query, rnd, values
 from repograin.rules import code as K
 from repograin.rules import context as X
 from repograin.session import cut_lineage
@@ -533,11 +530,11 @@ def _(c):
 
 
 cte("fresh_state", "SELECT s.* FROM saved_state AS s JOIN fingerprints AS f ON f.repo = s.repo AND f.fingerprint = s.fingerprint WHERE ts >= TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 24 HOUR AND version = '1.0'")
-_NOW = datetime.datetime(2024, 1, 2)
+_NOW = "TIMESTAMP '2024-01-02 00:00:00'"
 
 
 def _fresh(c):
-    return history.fresh(c.saved_state, c.fingerprints, F.lit(_NOW), "1.0")
+    return history.fresh(c.saved_state, c.fingerprints, F.expr(_NOW), "1.0")
 
 
 @query("a5_freshness", "SELECT repo, analysis, version, CAST(ts AS VARCHAR) AS ts FROM fresh_state")
@@ -571,7 +568,7 @@ def _(c):
 
 @frame("gaps")
 def _(c):
-    return run_metrics.phase_gaps(c.table("events").select(F.col("user_id").alias("run"), F.col("event_type").alias("phase"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq")))
+    return run_metrics.phase_gaps(c.table("events").select(F.col("user_id").alias("run"), F.col("event_type").alias("phase"), "ts", F.col("event_id").alias("seq")))
 
 
 cte("gaps", "SELECT user_id AS run, event_type AS phase, event_id AS seq, ts AS started, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1000000e0 AS seconds FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")

@@ -8,7 +8,7 @@ from repograin.functions.text import words
 from repograin.operators import claims, documents
 from repograin.plans import corpus_ctes  # noqa: F401
 from repograin.plans.base import (
-    by_position, case_any, case_map, cte, fold, frame, has_any, hit_list, q, query, regex_hits, rnd, values, words_sql,
+    by_position, case_any, case_map, cte, fold, frame, has_any, q, query, regex_hits, rnd, words_sql,
 )
 from repograin.rules import documents as D
 from repograin.session import cut_lineage

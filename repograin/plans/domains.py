@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from repograin.functions.scores import r6
+
 from repograin.operators import classify, domains
 from repograin.plans import code as code_plan  # noqa: F401
 from repograin.plans.base import case_any, case_map, cte, frame, has_any, hit_list, q, query, rnd, values

@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from repograin.functions.scores import r6
 from repograin.operators import conflicts, inference, markers, reality, status
-from repograin.operators.conflicts import description_tokens
-from repograin.plans import documents as docs_plan
+
+from repograin.plans import documents as docs_plan  # noqa: F401
 from repograin.plans import sources as sources_plan  # noqa: F401
-from repograin.plans.base import by_position, case_any, case_map, cte, fold, frame, has_any, hit_list, q, query, regex_hits, rnd, values, words_sql
+from repograin.plans.base import by_position, case_map, cte, fold, frame, has_any, q, query, regex_hits, rnd, words_sql
 from repograin.plans.documents import jaccard_sql
 from repograin.plans.markers import _EFFORT
 from repograin.rules import documents as D
