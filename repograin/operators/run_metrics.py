@@ -32,8 +32,11 @@ def render(template: Column, variables: Column) -> Column:
 def lookup_default(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Row of the key, else the row named ``default``."""
     own = table.select(F.col("key").alias(key), F.col("value").alias("own"))
-    default = table.where("key = 'default'").select(F.col("value").alias("fallback"), F.lit(1).alias("one"))
-    return rows.join(own, key, "left").withColumn("one", F.lit(1)).join(F.broadcast(default.limit(1)), "one", "left").select(*rows.columns, F.coalesce("own", "fallback").alias("value"))
+    # One row, so it may be broadcast; rows without a value of their own look it up by name.
+    default = table.where("key = 'default'").select(F.col("key").alias("_wanted"), F.col("value").alias("fallback")).limit(1)
+    wanted = F.when(F.col("own").isNull(), "default")
+    joined = rows.join(own, key, "left").withColumn("_wanted", wanted).join(F.broadcast(default), "_wanted", "left")
+    return joined.select(*rows.columns, F.coalesce("own", "fallback").alias("value"))
 
 
 @operator("metrics.phase_gaps")

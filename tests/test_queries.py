@@ -36,6 +36,6 @@ def test_no_nested_loop_joins_in_plans(spark):
 
     if not os.path.isdir(SF):
         pytest.skip("needs the driver's tables")
-    for name in ("t6_marker_summary", "d3_technology_detection", "m10_component_relations", "q2_relation_patterns", "s7_file_and_directory_probes"):
+    for name in ("t6_marker_summary", "d3_technology_detection", "m10_component_relations", "q2_relation_patterns", "s7_file_and_directory_probes", "o2_lookup_with_default"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
