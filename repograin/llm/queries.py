@@ -39,6 +39,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
+@query("op9_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike are a document, its edited copy and its neighbour, by their fingerprints?"""
+    from repograin.llm import minhash
+
+    return minhash.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 @query("op10_mixing", sql=f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SQL_WORD}'))::BIGINT AS size,
