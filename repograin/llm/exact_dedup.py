@@ -18,6 +18,7 @@ from repograin.llm.store import WHITE, hinted, saved
 CELLS = 2  # cells per text
 BITS_PER_ROW = 32
 FILTER_WORDS = 1 << 20  # the largest filter that is broadcast: 8 MB of bits, some 50 MB as a hash table
+BROADCAST_GROUPS = 200_000
 
 
 def normalized(text: Column) -> Column:
@@ -73,8 +74,9 @@ def verdicts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     alone = tested.where(~F.col("maybe")).select("key", F.col("key").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     again = tested.where("maybe").select("key", "sha", "place")
     first = F.min(F.struct(F.col("key").isNull().alias("missing"), F.col("key"), F.col("place"))).alias("first")
-    groups = again.groupBy("sha").agg(first, F.count("*").alias("group_size"))
-    decided = again.join(groups, "sha").select("key", F.col("first.key").alias("keep_id"), "group_size", (F.col("place") == F.col("first.place")).alias("kept"), "sha")
+    groups = saved(again.groupBy("sha").agg(first, F.count("*").alias("group_size")), "groups")  # saved, so that Spark can split a hot text in the join
+    decided = again.join(hinted(groups, groups.count(), BROADCAST_GROUPS), "sha").select(
+        "key", F.col("first.key").alias("keep_id"), "group_size", (F.col("place") == F.col("first.place")).alias("kept"), "sha")
     return alone.unionByName(decided).select(
         F.col("key").alias(key), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
