@@ -55,6 +55,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens has each document, and does decoding give it back?"""
+    import public_tokenizers
+
+    from repograin.llm import byte_bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op9_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike are a document, its edited copy and its neighbour, by their fingerprints?"""
