@@ -114,20 +114,23 @@ def edited_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         return left["key"].eqNullSafe(right["key"]) & (left["mark"] == right["mark"])
 
     one = known.groupBy("key", "mark").agg(F.first("print").alias("print"))
-    printed_ids = saved(ranked.join(one, on(ranked, one)).select(ranked["key"], ranked["mark"], "n", "place", "print"), "places")
-    asking = printed_ids.select(
-        F.col("key").alias("ask_key"), F.col("mark").alias("ask_mark"), F.floor(F.col("n") / 3).cast("int").alias("need"), F.col("print").alias("ask_print"),
+    asking = ranked.select(
+        F.col("key").alias("ask_key"), F.col("mark").alias("ask_mark"), F.floor(F.col("n") / 3).cast("int").alias("need"),
         F.when(F.col("place") == 1, ranked.count()).otherwise(F.col("place") - 1).alias("place"))
-    asked = printed_ids.select("key", "mark", "place", F.col("print").alias("next_print")).join(asking, "place").drop("place")
+    asked = ranked.drop("n").join(asking, "place").drop("place")
+    asked = asked.join(one, on(asked, one)).select(asked["key"], asked["mark"], "ask_key", "ask_mark", "need", F.col("print").alias("next_print"))
+    asked = asked.join(one, asked["ask_key"].eqNullSafe(one["key"]) & (asked["ask_mark"] == one["mark"])).select(
+        asked["key"], asked["mark"], "ask_key", "ask_mark", "need", "print", likeness(F.col("print"), F.col("next_print")).alias("near_next"))
+    asked = saved(asked, "asked")
     tails = (
         texts.join(asked, on(texts, asked))
         .groupBy(F.col("ask_key").alias("key"), F.col("ask_mark").alias("mark"))
-        .agg(F.first(F.expr("substring(body, 1, need)")).alias("tail"), F.first("ask_print").alias("print"), F.first("next_print").alias("next_print"))
+        .agg(F.first(F.expr("substring(body, 1, need)")).alias("tail"), F.first("print").alias("print"), F.first("near_next").alias("near_next"))
     )
-    both = texts.join(tails, on(texts, tails)).select(texts["key"], "body", F.char_length("body").alias("n_chars"), "tail", "print", "next_print")
+    both = texts.join(tails, on(texts, tails)).select(texts["key"], "body", F.char_length("body").alias("n_chars"), "tail", "print", "near_next")
     edited = both.withColumn("edited", F.concat(F.expr("substring(body, 1, n_chars - cast(floor(n_chars / 3) as int))"), F.col("tail"))).drop("body", "tail")
     edited = fingerprint(edited, "edited", "edited_print")
     return edited.select(
         F.col("key").alias(key), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))
+        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), "near_next")
