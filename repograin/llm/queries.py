@@ -44,6 +44,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.learn_and_identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op6_warc")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Do the pages come back whole from normalised archives?"""
+    from repograin.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op7_exact_dedup", sql=f"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{SQL_WHITE}', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256

@@ -25,10 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A name for a new folder there; it is deleted when the application ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
+    home = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(home)
+    files = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(jvm_path)
+    files.deleteOnExit(jvm_path)
+    return f"{home}/{label}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
