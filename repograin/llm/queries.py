@@ -28,6 +28,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_line_templates", sql=f"""
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS line_no FROM a),
+w AS (
+  SELECT doc_id, line_no, list_transform(list_filter(string_split_regex(line, '{SQL_WHITE}'), lambda x: x <> ''),
+         lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS words FROM l),
+p AS (SELECT *, len(words) AS n, words[1:3] AS head FROM w WHERE len(words) > 0),
+s AS (SELECT n, head, words, count(*) AS docs FROM (SELECT DISTINCT doc_id, n, head, words FROM p) GROUP BY ALL),
+x AS (SELECT n, head, words, docs, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM s),
+k AS (SELECT n, head, place, word FROM x WHERE word <> '<*>' GROUP BY n, head, place, word HAVING sum(docs) >= 3),
+t AS (
+  SELECT x.n, x.head, x.words, string_agg(CASE WHEN k.word IS NULL THEN '<*>' ELSE k.word END, ' ' ORDER BY x.place) AS template
+  FROM x LEFT JOIN k ON x.n = k.n AND x.head = k.head AND x.place = k.place AND x.word = k.word
+  GROUP BY x.n, x.head, x.words HAVING count(k.word) >= 0.7 * x.n),
+m AS (SELECT p.doc_id, p.line_no, t.template FROM p JOIN t ON p.n = t.n AND p.words = t.words),
+c AS (SELECT template, count(*) AS documents FROM (SELECT DISTINCT doc_id, template FROM m) GROUP BY template HAVING count(*) >= 3)
+SELECT doc_id, line_no, template, documents FROM m JOIN c USING (template)""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines repeat a template that recurs across documents?"""
+    from repograin.llm import line_templates
+
+    return line_templates.line_templates(table(spark, sf_dir, "documents"))
+
+
 @query("op4_simhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are near copies of each other?"""
