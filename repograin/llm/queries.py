@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repograin.llm import licenses
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,6 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_license_scan", sql=licenses.scan_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which licenses does each document name?"""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op2_chat_repair")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How does each conversation read after its roles are repaired?"""
+    from repograin.llm import chat
+
+    return chat.repaired_turns(table(spark, sf_dir, "conversations"))
+
+
 @query("op3_line_templates", sql=f"""
 WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS line_no FROM a),
@@ -95,7 +111,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from repograin.llm import byte_bpe
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    coded = byte_bpe.recode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
