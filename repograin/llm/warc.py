@@ -239,7 +239,9 @@ def read(index: DataFrame) -> DataFrame:
         if source is not None:
             source.close()
 
-    spans = index.select("path", "offset", "length", F.floor(F.col("offset") / READ_BYTES).alias("span")).repartition("path", "span").sortWithinPartitions("path", "offset")
+    spans = index.select("path", "offset", "length", F.floor(F.col("offset") / READ_BYTES).alias("span"))
+    number = max(1, spans.select("path", "span").distinct().count())  # stated, so that Spark does not put the small index rows into one task
+    spans = spans.repartition(number, "path", "span").sortWithinPartitions("path", "offset")
     return spans.drop("span").mapInArrow(run, _RECORD)
 
 
