@@ -5,45 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_SEPARATOR = r"[^\p{L}\p{N}]+"
+_GRAM = 3
 
-def grams(text: Column, n: int) -> Column:
-    """All pieces of ``n`` characters; empty when the text is shorter."""
-    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-    return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
+def tokens(text: Column) -> Column:
+    """Distinct runs of letters and digits, of any script."""
+    return F.filter(F.array_distinct(F.split(text, _SEPARATOR)), lambda t: t != "")
 
-_SEPARATOR = "[^a-z0-9]+"
 
-
-def _pieces(text: Column, sizes: list[int]) -> Column:
-    """Distinct pieces inside the text's distinct tokens: bounded by its vocabulary, not its length."""
-    tokens = F.array_distinct(F.split(text, _SEPARATOR))
-    return F.array_distinct(F.flatten(F.concat(*[F.transform(tokens, _sized(n)) for n in sizes])))
-
-
-def _sized(n: int):
-    return lambda t: grams(t, n)
+def _grams(token: Column, n: Column) -> Column:
+    """Distinct pieces of ``n`` characters of a token at least that long."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(token) - n + 1), lambda i: F.substring(token, i, n)))
 
 
 def containing(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """(key, id, name) where the lower-case text holds the lower-case name as a substring.
 
-    ``texts(key, id, text)`` with unique ids, ``names(key, name)`` distinct.
-    Every name is looked up by its rarest three-character piece (a shorter one
-    if it has none), so a beginning that many names share pairs nothing. The
-    pieces travel without the text; only candidate pairs meet the text again
-    for the exact test.
+    ``texts(key, id, text)`` with unique ids, ``names(key, name)`` distinct. A
+    name's longest run of letters and digits must lie inside one token of the
+    text, so names meet the key's vocabulary, not its texts: they are looked up
+    by three characters (or fewer, if the run is shorter), and only tokens that
+    hold such a piece are compared. A name that is one run is then found; only
+    names with separators meet the text again, once per candidate. Names
+    without any letter or digit are tested against the key's texts.
     """
-    longest = F.aggregate(F.split("name", _SEPARATOR), F.lit(0), lambda a, t: F.greatest(a, F.length(t)))
-    own = (
-        F.when(longest >= 3, _pieces(F.col("name"), [3])).when(longest == 2, _pieces(F.col("name"), [2])).otherwise(_pieces(F.col("name"), [1]))
-    )
-    pieces = names.where(longest > 0).select(key, "name", F.explode(own).alias("piece"))
-    spread = pieces.groupBy(key, "piece").agg(F.count("*").alias("n"))
-    keyed = (
-        pieces.join(spread, [key, "piece"]).groupBy(key, "name").agg(F.min(F.struct("n", "piece")).alias("m"))
-        .select(key, "name", F.col("m.piece").alias("piece"))
-    )
-    held = texts.select(key, "id", F.explode(_pieces(F.col("text"), [3, 2, 1])).alias("piece"))
-    candidates = held.join(keyed, [key, "piece"]).select(key, "id", "name")
-    return candidates.join(texts, [key, "id"]).where(F.contains("text", "name")).select(key, "id", "name")
+    runs = tokens(F.col("name"))
+    longest = F.aggregate(runs, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+    named = names.select(key, "name", longest.alias("run"))
+    bare = named.where("run = ''").select(key, "name")
+    named = named.where("run <> ''").withColumn("n", F.least(F.length("run"), F.lit(_GRAM)))
+    pieces = named.select(key, "run", "n", F.explode(_grams(F.col("run"), F.col("n"))).alias("piece")).distinct()
+    common = pieces.groupBy(key, "piece").agg(F.count("*").alias("names"))
+    rarest = pieces.join(common, [key, "piece"]).groupBy(key, "run", "n").agg(F.min(F.struct("names", "piece"))["piece"].alias("piece"))
+    words = texts.select(key, "id", F.explode(tokens(F.col("text"))).alias("token"))
+    sizes = rarest.select(key, "n").distinct()  # three at most in a key
+    vocabulary = words.select(key, "token").distinct().join(sizes, key).where(F.length("token") >= F.col("n"))
+    held = vocabulary.select(key, "token", F.explode(_grams(F.col("token"), F.col("n"))).alias("piece"))
+    holders = held.join(rarest, [key, "piece"]).where(F.contains("token", "run")).select(key, "token", "run").distinct()
+    found = words.join(holders, [key, "token"]).select(key, "id", "run").distinct()
+    pairs = found.join(named.select(key, "name", "run"), [key, "run"])
+    whole = pairs.where("name = run").select(key, "id", "name")
+    parted = pairs.where("name <> run").select(key, "id", "name").join(texts, [key, "id"]).where(F.contains("text", "name")).select(key, "id", "name")
+    signs = texts.join(bare, key).where(F.contains("text", "name")).select(key, "id", "name")
+    return whole.unionByName(parted).unionByName(signs)

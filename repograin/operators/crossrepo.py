@@ -27,41 +27,36 @@ def identifiers(repos: DataFrame, meta: DataFrame) -> DataFrame:
     return own.unionByName(named).distinct()
 
 
-def word_runs(text: Column) -> Column:
-    """Word-bounded pieces of hyphenated tokens: ``array<struct<run,prev,next>>``.
-
-    ``a-b-c`` gives every run of neighbouring parts and whether a part stands
-    before or after it, so names are found by an equality join.
-    """
-    tokens = F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9_-]+"), lambda t: t != ""))
-
-    def runs(token: Column) -> Column:
-        parts = F.split(token, "-")
-        n = F.size(parts)
-        return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-            F.sequence(i, n), lambda j: F.struct(F.array_join(F.slice(parts, i, j - i + 1), "-").alias("run"), (i > 1).alias("prev"), (j < n).alias("next")))))
-
-    return F.array_distinct(F.flatten(F.transform(tokens, runs)))
+def _words(text: Column) -> Column:
+    """Distinct lower-case words: letters, digits and underscores of any script."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+")), lambda w: w != "")
 
 
 @operator("crossrepo.mentions")
 def mentions(sections: DataFrame, idents: DataFrame) -> DataFrame:
     """(source, section identity, target, identifier, exact, related, component).
 
-    Sections of one repository that name another. Sections meet identifiers
-    only where a word run equals one.
+    Sections of one repository that name another as a bounded name, whatever
+    signs the name has. Sections meet identifiers by the identifier's rarest
+    word; the body comes back once for each section and identifier so found,
+    for the exact test. Identifiers without a letter or digit name nothing.
     """
-    doc = sections.where(F.col("section").isin("Description", "Architecture", "Api")).select(
-        F.col("repo").alias("source"), "path", "ord", "section", "body", F.explode(word_runs(F.col("body"))).alias("w")
-    )
-    flat = doc.select("source", "path", "ord", "section", "body", F.col("w.run").alias("key"), (F.col("w.prev") | F.col("w.next")).alias("related"))
-    names = idents.select(F.col("repo").alias("target"), "identifier", F.lower("identifier").alias("key"))
-    found = flat.join(names, "key").where("source <> target").groupBy("source", "path", "ord", "section", "target", "identifier").agg(
-        F.bool_or("related").alias("related"), F.min("body").alias("body")
+    place = ["source", "path", "ord"]
+    doc = sections.where(F.col("section").isin("Description", "Architecture", "Api")).withColumnRenamed("repo", "source").select(*place, "section", "body")
+    parts = idents.select(F.col("repo").alias("target"), "identifier", F.explode(_words(F.col("identifier"))).alias("word"))
+    words = doc.select(*place, F.explode(_words(F.col("body"))).alias("word"))
+    common = words.join(parts.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    keys = parts.join(common, "word", "left").groupBy("target", "identifier").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"].alias("word"))
+    pairs = words.join(keys, "word").where("source <> target").select(*place, "target", "identifier")
+    name = F.regexp_replace("identifier", r"([^\p{L}\p{N}_])", r"\\$1")
+    before, after = F.lit(r"(?<![\p{L}\p{N}_])"), F.lit(r"(?![\p{L}\p{N}_])")
+    bounded = F.concat(before, name, after)
+    related = F.concat(F.lit("(?i)"), before, name, F.lit(r"-[\p{L}\p{N}_]|[\p{L}\p{N}_]-"), name, after)
+    component = F.concat(F.lit(r"(?i)(?:component|service|module|project).*"), bounded, F.lit("|"), bounded, F.lit(r".*(?:component|service|module)"))
+    return (
+        pairs.join(doc, place).where(F.contains(F.lower("body"), F.lower("identifier")) & F.rlike("body", F.concat(F.lit("(?i)"), bounded)))
+        .withColumn("related", F.rlike("body", related)).withColumn("component", F.rlike("body", component))
     )
-    word = F.regexp_replace("identifier", r"([^A-Za-z0-9_])", r"\\$1")
-    pattern = F.concat(F.lit(r"(?i)(?:component|service|module|project).*\b"), word, F.lit(r"\b|\b"), word, F.lit(r"\b.*(?:component|service|module)"))
-    return found.withColumn("component", F.rlike("body", pattern))
 
 
 @operator("crossrepo.relations")

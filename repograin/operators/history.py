@@ -4,41 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from repograin.registry import operator
 
 # Files that make up a project's fingerprint.
 KEY_FILES = ["Cargo.toml", "package.json", "pom.xml", "requirements.txt", "README.md", ".gitignore", "tsconfig.json", "setup.py"]
 SKIPPED = ["target", "node_modules"]
-RECENT, REPORTED, MAX_AGE_HOURS = 100, 10, 24
+MAX_AGE_HOURS = 24
 
 
 @operator("history.contributors")
 def contributors(commits: DataFrame) -> DataFrame:
-    return commits.groupBy("author_email").agg(F.count("*").alias("commits"), F.min_by("author_name", "seq").alias("author_name"))
+    """Commits by author of each repository, with the author's name in the earliest one."""
+    return commits.groupBy("repo", "author_email").agg(F.count("*").alias("commits"), F.min_by("author_name", "seq").alias("author_name"))
 
 
 @operator("history.recent")
-def recent(commits: DataFrame, limit: int = RECENT) -> DataFrame:
-    """Newest commits; the sort keeps only the limit per task."""
-    return commits.orderBy(F.desc("ts"), F.desc("seq")).limit(limit)
+def recent(commits: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` newest commits of each repository; Spark applies the rank limit before its shuffle."""
+    newest = Window.partitionBy("repo").orderBy(F.desc("ts"), F.desc("seq"))
+    return commits.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit).drop("place")
 
 
 @operator("history.recent_commits")
-def recent_commits(commits: DataFrame, commit_files: DataFrame, limit: int = RECENT) -> DataFrame:
+def recent_commits(commits: DataFrame, commit_files: DataFrame, limit: int) -> DataFrame:
     top = recent(commits, limit)
-    # At most ``limit`` commits: the small side of the join is bounded.
-    n = commit_files.join(F.broadcast(top.select("hash")), "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("files_changed"))
-    return top.join(n, "hash", "left").select(
-        F.left("hash", F.lit(8)).alias("short_hash"), "seq", "ts", "author_name", F.substring_index("message", "\n", 1).alias("title"), F.coalesce("files_changed", F.lit(0)).alias("files_changed")
+    n = commit_files.join(top.select("repo", "hash"), ["repo", "hash"], "left_semi").groupBy("repo", "hash").agg(F.count("*").alias("files_changed"))
+    return top.join(n, ["repo", "hash"], "left").select(
+        "repo", F.left("hash", F.lit(8)).alias("short_hash"), "seq", "ts", "author_name", F.substring_index("message", "\n", 1).alias("title"),
+        F.coalesce("files_changed", F.lit(0)).alias("files_changed"),
     )
 
 
 @operator("history.churn")
-def churn(commits: DataFrame, commit_files: DataFrame, limit: int = RECENT) -> DataFrame:
-    """Commits touching each file among the newest commits that have a parent."""
-    top = recent(commits.where("seq > 0"), limit)
-    return commit_files.join(F.broadcast(top.select("hash")), "hash", "left_semi").groupBy("path").agg(F.count_distinct("hash").alias("commits"))
+def churn(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """Commits touching each file of each repository, among all commits that have a parent."""
+    parented = commits.where("seq > 0").select("repo", "hash")
+    touched = commit_files.select("repo", "hash", "path").distinct().join(parented, ["repo", "hash"], "left_semi")
+    return touched.groupBy("repo", "path").agg(F.count("*").alias("commits"))
 
 
 @operator("history.fingerprint")

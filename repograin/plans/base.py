@@ -80,12 +80,8 @@ class Context:
 
     @cached_property
     def repos(self) -> DataFrame:
-        """One row per repository, read from the id column alone."""
-        from pyspark.sql import functions as F
-
-        from repograin.sources.code_corpus import REPO_SQL
-
-        return self.table("documents").where("doc_id % 40 = 0").select(F.expr(REPO_SQL).alias("repo"))
+        """One row per repository that has a file; only the keys are read."""
+        return self.files.select("repo").distinct()
 
     @cached_property
     def todos(self) -> DataFrame:

@@ -16,34 +16,31 @@ cte(
         1700000000 + doc_id * 60 AS modified
         FROM (SELECT *, {_TABLE}[{_ECO} * {C.SLOTS} + doc_id % {C.SLOTS} + 1] AS kind FROM documents) AS d JOIN {_KINDS} USING (kind)
         UNION ALL SELECT {C.REPO_SQL}, {C.fill_sql("path_t")}, {C.fill_sql("text_t")}, 1700000000 + doc_id * 60
-        FROM documents JOIN {_MANIFESTS} ON doc_id % 40 = 0 AND eco = {_ECO}""",
+        FROM (SELECT min(doc_id) AS doc_id FROM documents GROUP BY {C.REPO_SQL}) JOIN {_MANIFESTS} ON eco = {_ECO}""",
 )
 cte(
     "files",
     rf"""SELECT repo, path, ext, {case_map("ext", L.LANGUAGE_BY_EXTENSION)} AS lang, CAST(strlen(content) AS BIGINT) AS length,
         modified, content FROM (SELECT *, regexp_extract(path, '[^/]\.([^./]+)$', 1) AS ext FROM raw_files)""",
 )
-cte("repos", f"SELECT {C.REPO_SQL} AS repo FROM documents WHERE doc_id % 40 = 0")
+cte("repos", f"SELECT DISTINCT {C.REPO_SQL} AS repo FROM documents")
 cte(
     "all_lines",
     r"""SELECT repo, path, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM
         (SELECT repo, path, string_split_regex(regexp_replace(content, '\r?\n\z', ''), '\r?\n') AS ls FROM files WHERE content <> '')""",
 )
-_DEPTH = "len(string_split(path, '/')) - 1"
 cte(
     "marker_files",
-    f"""SELECT * FROM files WHERE regexp_matches(path, {q(globs_regex(L.MARKER_INCLUDE))}) AND NOT regexp_matches(path, {q(globs_regex(L.MARKER_EXCLUDE))})
-        AND length // 1048576 <= {L.MARKER_MAX_MB} AND {_DEPTH} <= {L.MARKER_MAX_DEPTH}""",
+    f"""SELECT * FROM files WHERE regexp_matches(path, {q(globs_regex(L.MARKER_INCLUDE))}) AND NOT regexp_matches(path, {q(globs_regex(L.MARKER_EXCLUDE))})""",
 )
 cte(
     "reality_files",
-    f"""SELECT * FROM files WHERE regexp_matches(path, {q(globs_regex(L.REALITY_INCLUDE))}) AND NOT regexp_matches(path, {q(globs_regex(L.REALITY_EXCLUDE))})
-        AND length <= {L.REALITY_MAX_KB} * 1024""",
+    f"""SELECT * FROM files WHERE regexp_matches(path, {q(globs_regex(L.REALITY_INCLUDE))}) AND NOT regexp_matches(path, {q(globs_regex(L.REALITY_EXCLUDE))})""",
 )
 cte(
     "doc_files",
-    f"""SELECT * FROM files WHERE regexp_matches(path, {q(_doc_path(L.DOC_PATTERNS))}) AND (path NOT LIKE 'docs/%' OR length // 1024 <= {L.DOCUMENT_MAX_KB})""",
+    f"""SELECT * FROM files WHERE regexp_matches(path, {q(_doc_path(L.DOC_PATTERNS))})""",
 )
-cte("claim_files", f"SELECT * FROM files WHERE regexp_matches(path, {q(_doc_path(L.CLAIM_PATTERNS))}) AND length <= {L.DOCUMENT_MAX_KB} * 1024")
+cte("claim_files", f"SELECT * FROM files WHERE regexp_matches(path, {q(_doc_path(L.CLAIM_PATTERNS))})")
 IGNORED = "[" + ", ".join(q(d) for d in L.IGNORED_DIRECTORIES) + "]"
 cte("pruned_files", f"SELECT * FROM files WHERE NOT list_has_any(string_split(path, '/')[1:-2], {IGNORED})")

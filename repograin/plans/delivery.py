@@ -41,11 +41,12 @@ cte(
         UNION ALL SELECT repo, name FROM metadata WHERE manifest IN ('package.json', 'Cargo.toml'))""",
 )
 _ID = "regexp_replace(identifier, '([^A-Za-z0-9_])', '\\\\\\1', 'g')"
+_B, _A = "(?:^|[^\\pL\\pN_])", "(?:$|[^\\pL\\pN_])"  # no letter, digit or underscore beside the name
 cte(
     "links",
-    f"""SELECT s.repo AS source, path, ord, section, body, i.repo AS target, identifier, regexp_matches(body, concat('(?i)\\b', {_ID}, '-\\w+|\\b\\w+-', {_ID}, '\\b')) AS related,
-        regexp_matches(body, concat('(?i)(?:component|service|module|project).*\\b', {_ID}, '\\b|\\b', {_ID}, '\\b.*(?:component|service|module)')) AS component
-        FROM sections AS s JOIN identifiers AS i ON i.repo <> s.repo AND contains(lower(s.body), lower(i.identifier)) AND regexp_matches(body, concat('(?i)\\b', {_ID}, '\\b')) WHERE section IN ('Description', 'Architecture', 'Api')""",
+    f"""SELECT s.repo AS source, path, ord, section, body, i.repo AS target, identifier, regexp_matches(body, concat('(?i){_B}', {_ID}, '-[\\pL\\pN_]|[\\pL\\pN_]-', {_ID}, '{_A}')) AS related,
+        regexp_matches(body, concat('(?i)(?:component|service|module|project)(?:|.*[^\\pL\\pN_])', {_ID}, '{_A}|{_B}', {_ID}, '(?:|[^\\pL\\pN_].*)(?:component|service|module)')) AS component
+        FROM sections AS s JOIN identifiers AS i ON i.repo <> s.repo AND contains(lower(s.body), lower(i.identifier)) AND regexp_matches(body, concat('(?i){_B}', {_ID}, '{_A}')) WHERE section IN ('Description', 'Architecture', 'Api')""",
 )
 
 
@@ -461,9 +462,14 @@ def _(c):
 # --- history: orders as commits, line items as touched files ----------------------------
 
 
+# Repositories by the orders' key, so that a file path lies in several of them.
+_COMMIT_REPO = "concat('shop-unit-', CAST({key} % 7 AS STRING))"
+
+
 @frame("commits")
 def _(c):
     return c.table("orders").select(
+        F.expr(_COMMIT_REPO.format(key="o_orderkey")).alias("repo"),
         F.col("o_orderkey").alias("seq"), F.md5(F.col("o_orderkey").cast("string")).alias("hash"), F.concat(F.lit("user"), F.col("o_custkey").cast("string"), F.lit("@example.org")).alias("author_email"),
         F.concat(F.lit("Dev "), "o_orderpriority").alias("author_name"), F.col("o_orderdate").alias("ts"), F.concat(F.lit("Change "), F.col("o_orderkey").cast("string"), F.lit("\nstatus "), "o_orderstatus").alias("message"),
     )
@@ -471,27 +477,30 @@ def _(c):
 
 @frame("commit_files")
 def _(c):
-    return c.table("lineitem").select(F.md5(F.col("l_orderkey").cast("string")).alias("hash"), F.concat(F.lit("src/part_"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("path"))
+    return c.table("lineitem").select(
+        F.expr(_COMMIT_REPO.format(key="l_orderkey")).alias("repo"), F.md5(F.col("l_orderkey").cast("string")).alias("hash"), F.concat(F.lit("src/part_"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("path")
+    )
 
 
-cte("commits", "SELECT o_orderkey AS seq, md5(CAST(o_orderkey AS VARCHAR)) AS hash, concat('user', o_custkey, '@example.org') AS author_email, concat('Dev ', o_orderpriority) AS author_name, o_orderdate AS ts, concat('Change ', o_orderkey, chr(10), 'status ', o_orderstatus) AS message FROM orders")
-cte("commit_files", "SELECT md5(CAST(l_orderkey AS VARCHAR)) AS hash, concat('src/part_', l_partkey, '.py') AS path FROM lineitem")
+cte("commits", f"SELECT {_COMMIT_REPO.format(key='o_orderkey')} AS repo, o_orderkey AS seq, md5(CAST(o_orderkey AS VARCHAR)) AS hash, concat('user', o_custkey, '@example.org') AS author_email, concat('Dev ', o_orderpriority) AS author_name, o_orderdate AS ts, concat('Change ', o_orderkey, chr(10), 'status ', o_orderstatus) AS message FROM orders")
+cte("commit_files", f"SELECT {_COMMIT_REPO.format(key='l_orderkey')} AS repo, md5(CAST(l_orderkey AS VARCHAR)) AS hash, concat('src/part_', l_partkey, '.py') AS path FROM lineitem")
 
 
-@query("a1_contributors", "SELECT author_email, count(*) AS commits, min_by(author_name, seq) AS author_name FROM commits GROUP BY author_email")
+@query("a1_contributors", "SELECT repo, author_email, count(*) AS commits, min_by(author_name, seq) AS author_name FROM commits GROUP BY repo, author_email")
 def _(c):
     return history.contributors(c.commits)
 
 
 @query(
     "a2_recent_commits",
-    "SELECT left(t.hash, 8) AS short_hash, seq, CAST(ts AS VARCHAR) AS ts, author_name, string_split(message, chr(10))[1] AS title, (SELECT count(*) FROM commit_files AS f WHERE f.hash = t.hash) AS files_changed FROM (SELECT * FROM commits ORDER BY ts DESC, seq DESC LIMIT 100) AS t",
+    """SELECT t.repo, left(t.hash, 8) AS short_hash, seq, CAST(ts AS VARCHAR) AS ts, author_name, string_split(message, chr(10))[1] AS title, (SELECT count(*) FROM commit_files AS f WHERE f.repo = t.repo AND f.hash = t.hash) AS files_changed
+       FROM (SELECT * FROM commits QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ts DESC, seq DESC) <= 100) AS t""",
 )
 def _(c):
-    return history.recent_commits(c.commits, c.commit_files).withColumn("ts", F.col("ts").cast("string"))
+    return history.recent_commits(c.commits, c.commit_files, 100).withColumn("ts", F.col("ts").cast("string"))
 
 
-@query("a3_file_churn", "SELECT path, count(DISTINCT f.hash) AS commits FROM commit_files AS f JOIN (SELECT hash FROM commits WHERE seq > 0 ORDER BY ts DESC, seq DESC LIMIT 100) AS t USING (hash) GROUP BY path")
+@query("a3_file_churn", "SELECT f.repo, path, count(DISTINCT f.hash) AS commits FROM commit_files AS f JOIN (SELECT repo, hash FROM commits WHERE seq > 0) AS t ON t.repo = f.repo AND t.hash = f.hash GROUP BY f.repo, path")
 def _(c):
     return history.churn(c.commits, c.commit_files)
 

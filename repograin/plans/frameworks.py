@@ -278,7 +278,7 @@ def _(c):
     return fw_ops.architecture(c.flags).withColumn("names", F.array_join("names", ","))
 
 
-_EXPECTED = f"SELECT {REPO_SQL} AS key, CASE {REPO_NO_SQL} % 6 WHEN 0 THEN 'Flask' WHEN 1 THEN 'React' WHEN 2 THEN 'SpringBoot' WHEN 4 THEN 'Danet' ELSE 'FastAPI' END AS label FROM documents WHERE doc_id % 40 = 0"
+_EXPECTED = f"SELECT DISTINCT {REPO_SQL} AS key, CASE {REPO_NO_SQL} % 6 WHEN 0 THEN 'Flask' WHEN 1 THEN 'React' WHEN 2 THEN 'SpringBoot' WHEN 4 THEN 'Danet' ELSE 'FastAPI' END AS label FROM documents"
 _EVAL = """SELECT label, tp, fp, fn, precision, recall, CASE WHEN precision + recall = 0 THEN 0e0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM (SELECT label, tp, fp, fn,
     CASE WHEN tp + fp = 0 THEN 1e0 ELSE tp / CAST(tp + fp AS DOUBLE) END AS precision, CASE WHEN tp + fn = 0 THEN 1e0 ELSE tp / CAST(tp + fn AS DOUBLE) END AS recall FROM
     (SELECT coalesce(e.label, p.label) AS label, count(*) FILTER (e.key IS NOT NULL AND p.key IS NOT NULL) AS tp, count(*) FILTER (e.key IS NULL) AS fp, count(*) FILTER (p.key IS NULL) AS fn
@@ -294,7 +294,7 @@ def _rounded(df):
 def _(c):
     eco = F.expr(f"{REPO_NO_SQL} % 6")
     label = F.when(eco == 0, "Flask").when(eco == 1, "React").when(eco == 2, "SpringBoot").when(eco == 4, "Danet").otherwise("FastAPI")
-    expected = c.table("documents").where("doc_id % 40 = 0").select(F.expr(REPO_SQL).alias("key"), label.alias("label"))
+    expected = c.table("documents").select(F.expr(REPO_SQL).alias("key"), label.alias("label")).distinct()
     return _rounded(fw_ops.evaluate(expected, c.fw_confidence.select(F.col("repo").alias("key"), F.col("framework").alias("label"))))
 
 

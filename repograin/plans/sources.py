@@ -45,12 +45,7 @@ def _(c):
         length <= {L.REALITY_MAX_KB * 1024} AS reality_ok, length <= {L.DOCUMENT_MAX_KB * 1024} AS document_ok FROM files""",
 )
 def _(c):
-    size = F.col("length")
-    return c.files.select(
-        "repo", "path", "length",
-        ((F.floor(size / 1048576) <= L.MARKER_MAX_MB) & (F.size(F.split("path", "/")) - 1 <= L.MARKER_MAX_DEPTH)).alias("marker_ok"),
-        (size <= L.REALITY_MAX_KB * 1024).alias("reality_ok"), (size <= L.DOCUMENT_MAX_KB * 1024).alias("document_ok"),
-    )
+    return corpus.size_flags(c.files)
 
 
 @query("s6_file_language", "SELECT repo, lang, count(*) AS n, count(*) FILTER (lang IS NULL) AS defaulted, CAST(sum(length) AS BIGINT) AS n_bytes FROM files GROUP BY ALL")

@@ -51,6 +51,7 @@ CLAIM_PATTERNS = [
     "API.md", "FEATURES.md", "CHANGELOG.md", "package.json", "Cargo.toml",
 ]
 
+# Sizes and depth above which the size report flags a file; no scan leaves a file out for them.
 MARKER_MAX_MB = 10
 MARKER_MAX_DEPTH = 10
 REALITY_MAX_KB = 1000

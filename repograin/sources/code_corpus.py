@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repograin.session import SCAN_PARTITIONS
+
 # Files per repository; repositories grow with the table.
 DOCS_PER_REPO = 40
 
@@ -277,12 +279,9 @@ def _pick(table: dict[str, str], key: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Split a scan that has fewer partitions than there are cores.
-
-    A scan of many files already has more, so a large input is never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal the rows to as many partitions as the session asks for; without that setting the scan's own stay."""
+    asked = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(asked)) if asked else df
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,12 +300,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(_fill(F.concat(_pick({k: h for k, (_, h) in KINDS.items()}, F.col("kind")), marker)), F.col("text")).alias("content"),
         modified,
     )
-    # Manifests come from each repository's first document; no distinct needed.
+    # Manifests come from each repository's least document.
     per_eco = F.element_at(
         F.array(*[F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("content")) for p, t in ms]) for ms in MANIFESTS]),
         (eco + 1).cast("int"),
     )
-    manifests = docs.select("doc_id").where("doc_id % 40 = 0").select(
+    least = docs.groupBy(F.expr(REPO_SQL)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    manifests = least.select(
         repo, "doc_id", F.explode(per_eco).alias("m")
     ).select("repo", _fill(F.col("m.path")).alias("path"), _fill(F.col("m.content")).alias("content"), modified)
     return with_file_columns(body.unionByName(manifests))

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from repograin.functions.text import extension, lookup
 from repograin.rules import languages as L
 
-MAX_ROOTS = 10
-
 
 def glob_regex(glob: str) -> str:
     """Anchored regex of a glob; a glob without a slash fits any directory."""
@@ -37,39 +35,46 @@ def globs_regex(globs: Sequence[str]) -> str:
 
 
 def with_file_columns(df: DataFrame) -> DataFrame:
-    """Complete (repo, path, content, modified) to the canonical ``files`` columns."""
+    """Complete (repo, path, content, modified) to the canonical ``files`` columns; ``length`` is kept where the source has it."""
     ext = extension(F.col("path"))
+    length = F.col("length") if "length" in df.columns else F.octet_length("content")
+    more = [c for c in ("utf8",) if c in df.columns]
     return df.select(
         "repo", "path", ext.alias("ext"), lookup(ext, L.LANGUAGE_BY_EXTENSION).alias("lang"),
-        F.octet_length("content").cast("bigint").alias("length"), F.col("modified").cast("bigint").alias("modified"), "content",
+        length.cast("bigint").alias("length"), F.col("modified").cast("bigint").alias("modified"), "content", *more,
     )
 
 
-def scan_tree(spark: SparkSession, root: str, globs: str | None = None) -> DataFrame:
-    """Files below ``root/<repo>/``; texts that are not UTF-8 are skipped."""
+def scan_tree(spark: SparkSession, root: str, globs: str | None = None, undecodable: bool = False) -> DataFrame:
+    """Text files below ``root/<repo>/``.
+
+    With ``undecodable`` there is also a row for each file that is not UTF-8,
+    without content, and a column ``utf8`` that tells them. ``length`` is
+    the file's own, so a test of it reaches the file source and the file is
+    never opened.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if globs:
         reader = reader.option("pathGlobFilter", globs)
     base = re.escape(root.rstrip("/"))
     inner = F.regexp_extract("path", f"{base}/(.*)$", 1)
+    utf8 = F.is_valid_utf8(F.col("content"))
+    found = reader.load(root)
     return with_file_columns(
-        reader.load(root)
-        .where(F.is_valid_utf8(F.col("content")))
-        .select(
+        (found if undecodable else found.where(utf8)).select(
             F.substring_index(inner, "/", 1).alias("repo"),
             F.regexp_replace(inner, "^[^/]*/", "").alias("path"),
-            F.decode("content", "UTF-8").alias("content"),
+            "length",
+            F.when(utf8, F.decode("content", "UTF-8")).alias("content"),
             F.unix_timestamp("modificationTime").alias("modified"),
+            *([utf8.alias("utf8")] if undecodable else []),
         )
     )
 
 
 def source_roots(csv: str) -> list[str]:
-    """Distinct roots of a comma-separated list, at most ten."""
-    roots = list(dict.fromkeys(p.strip().rstrip("/") for p in csv.split(",") if p.strip()))
-    if len(roots) > MAX_ROOTS:
-        raise ValueError(f"at most {MAX_ROOTS} documentation roots, got {len(roots)}")
-    return roots
+    """Distinct roots of a comma-separated list."""
+    return list(dict.fromkeys(p.strip().rstrip("/") for p in csv.split(",") if p.strip()))
 
 
 def scan_roots(spark: SparkSession, csv: str) -> DataFrame:
@@ -98,20 +103,13 @@ def prune_directories(files: DataFrame) -> DataFrame:
     return files.where(not_ignored(F.col("path")))
 
 
-def cap_size_kb(files: DataFrame, kb: int) -> DataFrame:
-    return files.where(F.col("length") <= kb * 1024)
-
-
 def marker_files(files: DataFrame) -> DataFrame:
-    """Files scanned for work markers: globs, whole megabytes, depth."""
-    return keep_globs(files, L.MARKER_INCLUDE, L.MARKER_EXCLUDE).where(
-        (F.floor(F.col("length") / (1024 * 1024)) <= L.MARKER_MAX_MB)
-        & (F.size(F.split("path", "/")) - 1 <= L.MARKER_MAX_DEPTH)
-    )
+    """Files scanned for work markers, of any size and depth."""
+    return keep_globs(files, L.MARKER_INCLUDE, L.MARKER_EXCLUDE)
 
 
 def reality_files(files: DataFrame) -> DataFrame:
-    return cap_size_kb(keep_globs(files, L.REALITY_INCLUDE, L.REALITY_EXCLUDE), L.REALITY_MAX_KB)
+    return keep_globs(files, L.REALITY_INCLUDE, L.REALITY_EXCLUDE)
 
 
 def _doc_path(patterns: Sequence[str]) -> str:
@@ -120,9 +118,18 @@ def _doc_path(patterns: Sequence[str]) -> str:
 
 
 def documentation_files(files: DataFrame) -> DataFrame:
-    size_ok = F.floor(F.col("length") / 1024) <= L.DOCUMENT_MAX_KB
-    return files.where(F.col("path").rlike(_doc_path(L.DOC_PATTERNS)) & (~F.col("path").startswith("docs/") | size_ok))
+    return files.where(F.col("path").rlike(_doc_path(L.DOC_PATTERNS)))
 
 
 def claim_files(files: DataFrame) -> DataFrame:
-    return cap_size_kb(files.where(F.col("path").rlike(_doc_path(L.CLAIM_PATTERNS))), L.DOCUMENT_MAX_KB)
+    return files.where(F.col("path").rlike(_doc_path(L.CLAIM_PATTERNS)))
+
+
+def size_flags(files: DataFrame) -> DataFrame:
+    """Which files are larger or deeper than the usual bounds; only a report, nothing is dropped."""
+    size = F.col("length")
+    return files.select(
+        "repo", "path", "length",
+        ((F.floor(size / 1048576) <= L.MARKER_MAX_MB) & (F.size(F.split("path", "/")) - 1 <= L.MARKER_MAX_DEPTH)).alias("marker_ok"),
+        (size <= L.REALITY_MAX_KB * 1024).alias("reality_ok"), (size <= L.DOCUMENT_MAX_KB * 1024).alias("document_ok"),
+    )
