@@ -28,13 +28,18 @@ def text_similarity(a: Column, b: Column) -> Column:
     )
 
 
+def _set_id(tokens: Column) -> Column:
+    """128 bits that stand for a token set while it travels."""
+    return F.unhex(F.md5(F.array_join(tokens, "\n").cast("binary")))
+
+
 def _prefixes(sets: DataFrame, keys: list[str], ranks: DataFrame, threshold: float) -> DataFrame:
-    """Rarest-first prefix tokens of each set: two sets above the threshold share one."""
-    tokens = sets.select(*keys, "tokens", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    """Rarest-first prefix tokens of each set, as narrow rows: two sets above the threshold share one."""
+    tokens = sets.select(*keys, _set_id(F.col("tokens")).alias("sid"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     ranked = tokens.join(ranks, [*keys, "token"])
-    w = Window.partitionBy(*keys, "tokens").orderBy("freq", "token")
+    w = Window.partitionBy(*keys, "sid").orderBy("freq", "token")
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1
-    return ranked.withColumn("k", F.row_number().over(w)).where(F.col("k") <= keep).select(*keys, "tokens", "n", "token")
+    return ranked.withColumn("k", F.row_number().over(w)).where(F.col("k") <= keep).select(*keys, "sid", "n", "token")
 
 
 def similar_sets(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -43,19 +48,20 @@ def similar_sets(left: DataFrame, right: DataFrame, keys: list[str], threshold:
     Inputs hold ``keys`` and a sorted, distinct ``tokens`` array, one row per
     distinct set. A pair must share a token of both rarest-first prefixes and
     have sizes within the threshold's ratio, so frequent tokens rarely pair
-    sets and equal sets meet as one row. Result: keys, l_tokens, r_tokens.
+    sets and equal sets meet as one row. Sets travel as ids; the arrays come
+    back for candidate pairs only. Result: keys, l_tokens, r_tokens.
     """
     both = left.select(*keys, "tokens").unionByName(right.select(*keys, "tokens"))
     ranks = (
         both.select(*keys, F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("freq"))
     )
-    lp = _prefixes(left, keys, ranks, threshold).withColumnsRenamed({"tokens": "l_tokens", "n": "l_n"})
-    rp = _prefixes(right, keys, ranks, threshold).withColumnsRenamed({"tokens": "r_tokens", "n": "r_n"})
+    lp = _prefixes(left, keys, ranks, threshold).withColumnsRenamed({"sid": "l_sid", "n": "l_n"})
+    rp = _prefixes(right, keys, ranks, threshold).withColumnsRenamed({"sid": "r_sid", "n": "r_n"})
     low, high = F.ceil(F.col("l_n") * F.lit(threshold)), F.floor(F.col("l_n") / F.lit(threshold))
-    sized = lp.withColumn("r_n", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    pairs = lp.join(rp, [*keys, "token"]).where((F.col("r_n") >= low) & (F.col("r_n") <= high)).select(*keys, "l_sid", "r_sid").distinct()
+    l_sets = left.select(*keys, _set_id(F.col("tokens")).alias("l_sid"), F.col("tokens").alias("l_tokens"))
+    r_sets = right.select(*keys, _set_id(F.col("tokens")).alias("r_sid"), F.col("tokens").alias("r_tokens"))
     return (
-        sized.join(rp, [*keys, "token", "r_n"])
-        .where(jaccard(F.col("l_tokens"), F.col("r_tokens")) > threshold)
-        .select(*keys, "l_tokens", "r_tokens")
-        .distinct()
+        pairs.join(l_sets, [*keys, "l_sid"]).join(r_sets, [*keys, "r_sid"])
+        .where(jaccard(F.col("l_tokens"), F.col("r_tokens")) > threshold).select(*keys, "l_tokens", "r_tokens")
     )

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repograin.functions.facets import facet_counts
 from repograin.functions.needles import folded, quick_match
@@ -13,7 +14,7 @@ from repograin.functions.text import file_name, let, lines, lookup, rx, words
 from repograin.registry import operator
 from repograin.rules import reality as R
 from repograin.rules.documents import KEYWORD_BONUS
-from repograin.session import cut_lineage
+from repograin.session import new_folder, saved
 
 RULES = [(t, i, p) for t, (_, ps) in enumerate(R.EVIDENCE) for i, p in enumerate(ps)]
 
@@ -134,26 +135,32 @@ def all_evidence(files: DataFrame, deps: DataFrame) -> DataFrame:
 def leaders(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Greedy groups of alike descriptions: (repo, reality_type, description, leader).
 
-    In identity order a description joins the first earlier leader it
-    resembles, or becomes a leader itself. Descriptions without a resembling
+    In the order of the MD5 of their identities, a description joins the first
+    earlier leader it resembles, or becomes a leader itself. That order is as
+    good as random, so a chain of descriptions that wait for each other is
+    short, and so is the number of rounds. Descriptions without a resembling
     partner never enter the loop; each round settles every description whose
-    earlier partners are settled, so the loop ends after the longest chain.
+    earlier partners are settled and appends it to one saved table.
     """
+    spark = rows.sparkSession
     keys = ["repo", "reality_type"]
-    named = (
+    named = saved(
         rows.groupBy(*keys, "description")
         .agg(F.min("impl_id").alias("first_id"))
         .withColumn("tokens", F.array_sort(F.array_distinct(words(F.col("description")))))
     )
-    nodes = named.groupBy(*keys, "tokens").agg(F.min("first_id").alias("id"))
+    place = F.struct(F.md5(F.col("id")).alias("place"), F.col("id")).alias("id")
+    nodes = named.groupBy(*keys, "tokens").agg(F.min("first_id").alias("id")).select(*keys, "tokens", place)
     edges = (
         similar_sets(nodes.select(*keys, "tokens"), nodes.select(*keys, "tokens"), keys, threshold)
-        .join(nodes.withColumnsRenamed({"tokens": "l_tokens", "id": "id"}), [*keys, "l_tokens"])
+        .join(nodes.withColumnsRenamed({"tokens": "l_tokens"}), [*keys, "l_tokens"])
         .join(nodes.withColumnsRenamed({"tokens": "r_tokens", "id": "earlier"}), [*keys, "r_tokens"])
         .where(F.col("earlier") < F.col("id"))
         .select(*keys, "id", "earlier")
     )
-    members = rows.sparkSession.createDataFrame([], "repo string, reality_type string, id string, leader string")
+    settled = new_folder(spark, "leaders")
+    member = T.StructType([edges.schema["repo"], edges.schema["reality_type"], edges.schema["id"], T.StructField("leader", edges.schema["id"].dataType)])
+    spark.createDataFrame([], member).write.parquet(settled)
     open_edges = edges
     while True:
         # A partner that is itself open is not settled yet; all others lead.
@@ -161,17 +168,19 @@ def leaders(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
         state = open_edges.join(ids, [*keys, "earlier"], "left").groupBy(*keys, "id").agg(
             F.bool_or(F.coalesce("open", F.lit(False))).alias("waits"), F.min("earlier").alias("leader")
         )
-        marked = cut_lineage(open_edges.join(state, [*keys, "id"]))
-        if marked.isEmpty():
+        left = Observation()
+        marked = saved(open_edges.join(state, [*keys, "id"]).observe(left, F.count("*").alias("edges")))
+        if not left.get["edges"]:
             break
         joined = marked.where(~F.col("waits")).select(*keys, "id", "leader").distinct()
-        members = members.unionByName(joined)
+        joined.write.mode("append").parquet(settled)
         # A member cannot lead: its edges go; an id left without edges leads.
         open_edges = (
             marked.where("waits").select(*keys, "id", "earlier")
             .join(joined.select(*keys, F.col("id").alias("earlier")), [*keys, "earlier"], "left_anti")
         )
-    assigned = nodes.join(members, [*keys, "id"], "left").select(*keys, "tokens", F.coalesce("leader", "id").alias("leader"))
+    members = spark.read.schema(member).parquet(settled)
+    assigned = nodes.join(members, [*keys, "id"], "left").select(*keys, "tokens", F.coalesce("leader", "id")["id"].alias("leader"))
     return named.join(assigned, [*keys, "tokens"]).select(*keys, "description", "leader")
 
 

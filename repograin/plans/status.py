@@ -65,7 +65,7 @@ cte(
 _EV = "repo, path, type_no, reality_type, snippets, line_numbers, points, level, impl_id, description"
 cte("evidence", f"SELECT {_EV} FROM file_evidence UNION ALL SELECT {_EV} FROM dep_evidence")
 cte("ev_named", f"SELECT repo, reality_type, description, min(impl_id) AS first_id, list_sort(list_distinct({words_sql('description')})) AS tokens FROM evidence GROUP BY ALL")
-cte("ev_nodes", "SELECT repo, reality_type, tokens, min(first_id) AS id, row_number() OVER (PARTITION BY repo, reality_type ORDER BY min(first_id)) AS n FROM ev_named GROUP BY repo, reality_type, tokens")
+cte("ev_nodes", "SELECT repo, reality_type, tokens, min(first_id) AS id, row_number() OVER (PARTITION BY repo, reality_type ORDER BY md5(min(first_id)), min(first_id)) AS n FROM ev_named GROUP BY repo, reality_type, tokens")
 cte(
     "ev_adj",
     f"""SELECT a.repo, a.reality_type, a.n, a.id, a.tokens, coalesce(list(b.n) FILTER (b.n IS NOT NULL), []) AS adj FROM ev_nodes AS a LEFT JOIN ev_nodes AS b

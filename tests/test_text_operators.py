@@ -79,19 +79,32 @@ def test_evidence_scores(spark, make_files):
     assert t["description"] == "Testing implementation with import pytest, def test_login():, assert True"
 
 
-def test_merge_is_greedy_in_identity_order(spark):
+def greedy(rows):
+    """Description -> leader; sets of words in the order of the MD5 of their least identity."""
+    import hashlib
+
+    first = {}
+    for i, d in rows:
+        first.setdefault(frozenset(d.split()), i)
+    order, leader = [], {}
+    for words, i in sorted(first.items(), key=lambda x: hashlib.md5(x[1].encode()).hexdigest()):
+        mine = next((k for k, e in order if len(words & e) / len(words | e) > 0.7), None)
+        if mine is None:
+            order.append((i, words))
+            mine = i
+        leader[words] = mine
+    return {d: leader[frozenset(d.split())] for _, d in rows}
+
+
+def test_merge_is_greedy_in_hash_order(spark):
     rnd = random.Random(7)
     vocab = [f"w{i}" for i in range(9)]
     rows = [(f"id{i:03}", " ".join(rnd.sample(vocab, 6))) for i in range(60)]
     df = spark.createDataFrame([("r", "T", i, d) for i, d in rows], "repo string, reality_type string, impl_id string, description string")
-    jac = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
-    leader = {}
-    order = []
-    for i, d in rows:
-        mine = next((k for k, e in order if jac(d, e) > 0.7), None)
-        if mine is None:
-            order.append((i, d))
-            mine = i
-        leader.setdefault(d, mine)
-    got = {r["description"]: r["leader"] for r in reality.leaders(df).collect()}
-    assert got == leader
+    assert {r["description"]: r["leader"] for r in reality.leaders(df).collect()} == greedy(rows)
+
+
+def test_a_chain_of_alike_descriptions_ends(spark):
+    rows = [(f"id{i:04}", " ".join(f"w{j}" for j in range(i, i + 12))) for i in range(300)]
+    df = spark.createDataFrame([("r", "T", i, d) for i, d in rows], "repo string, reality_type string, impl_id string, description string")
+    assert {r["description"]: r["leader"] for r in reality.leaders(df).collect()} == greedy(rows)
