@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -23,14 +22,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+
+from repograin.llm.store import made_columns
 
 LEAF_TEXT = 4_096  # code points that are matched at once
 LEAF_WORD = 16  # bytes that are merged at once
 LEAF_IDS = 4_096  # tokens that are decoded at once
 LEAF_WINDOW = 64  # bytes from which on merges are looked up in a heap
-ROWS = 256  # texts that are unpacked together
 KNOWN_WORDS = 150_000  # encodings a worker remembers before it lets go of the older ones
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value: the split of this vocabulary
 
@@ -192,20 +190,6 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabulary(path, os.path.getmtime(path))
 
 
-def _with_columns(df: DataFrame, source: str, made: dict[str, str], make: Callable[[list], list[pa.Array]]) -> DataFrame:
-    """``df`` with new columns, some ``ROWS`` rows at a time, so that few texts lie unpacked in a worker."""
-    kept = [c for c in df.columns if c not in made]
-    schema = StructType([df.schema[c] for c in kept] + [StructField(n, DataType.fromDDL(t)) for n, t in made.items()])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *make(part.column(len(kept)).to_pylist())], [*kept, *made])
-
-    return df.select(*kept, F.col(source).alias("_source")).mapInArrow(run, schema)
-
-
 def _ids(own: Vocabulary, texts: list) -> pa.Array:
     parts = [own.encode(t if t is not None else "") for t in texts]
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
@@ -214,7 +198,7 @@ def _ids(own: Vocabulary, texts: list) -> pa.Array:
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with ``out``: token ids as ``array<int>``; a null text has none. ``path``: a rank file that every machine has."""
-    return _with_columns(df, text, {out: "array<int>"}, lambda texts: [_ids(vocabulary(path), texts)])
+    return made_columns(df, text, {out: "array<int>"}, lambda texts: [_ids(vocabulary(path), texts)])
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -224,15 +208,15 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         own = vocabulary(path)
         return [pa.array([own.decode(np.asarray(i or [], np.int32)) for i in lists], pa.binary())]
 
-    return _with_columns(df, ids, {out: "binary"}, run)
+    return made_columns(df, ids, {out: "binary"}, run)
 
 
 def recode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``df`` with ``ids`` and ``decoded``, both from one pass over the texts."""
+    """``df`` without its text, with ``ids`` and ``decoded``, both from one pass over the texts."""
 
     def run(texts: list) -> list[pa.Array]:
         own = vocabulary(path)
         ids = _ids(own, texts)
         return [ids, pa.array([own.decode(i.values.to_numpy()) for i in ids], pa.binary())]
 
-    return _with_columns(df, text, {"ids": "array<int>", "decoded": "binary"}, run)
+    return made_columns(df, text, {"ids": "array<int>", "decoded": "binary"}, run, keep_source=False)

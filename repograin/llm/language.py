@@ -12,16 +12,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repograin.llm.store import ROWS, made_columns
+
 DIMENSIONS = 512
 GRAM = 3  # letters
 SEED = 20_240_501
 UNKNOWN = "und"
-_BLOCK = 1 << 20  # code points that are looked at together; longer texts are read in pieces
+_BLOCK = 1 << 19  # code points that are looked at together; longer texts are read in pieces
 
 
 def _letter_vectors(codes: np.ndarray) -> np.ndarray:
@@ -96,8 +97,8 @@ def prototypes(labelled: DataFrame, text: str, lang: str) -> dict[str, np.ndarra
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sums = Grams(), {}
-        for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for part in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
+            texts, langs = part.column(0).to_pylist(), part.column(1).to_pylist()
             for run in _chunks(texts):
                 by_lang: dict[str, list] = {}
                 for i, t in run:
@@ -124,8 +125,8 @@ def prototypes(labelled: DataFrame, text: str, lang: str) -> dict[str, np.ndarra
     return found
 
 
-def identify(df: DataFrame, model: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``, the cosine with the nearest prototype, 0 at least.
+def identify(df: DataFrame, model: dict[str, np.ndarray], text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``df`` (its text only if asked for) with ``lang_pred`` and ``score``, the cosine with the nearest prototype, 0 at least.
 
     A text that is null or has no letter is ``und`` with score 0, and so is
     every text if nothing was learned. Of equally near languages the first by
@@ -134,31 +135,29 @@ def identify(df: DataFrame, model: dict[str, np.ndarray], text: str = "text") ->
     names = sorted(model)
     unit = np.stack([model[n] / max(np.linalg.norm(model[n]), 1.0) for n in names]).astype(np.float64) if names else np.zeros((0, DIMENSIONS))
 
-    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = Grams()
-        for series in batches:
-            texts = [t if isinstance(t, str) else None for t in series]
-            pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            for run in _chunks(texts) if names else ():
-                parts = [gram_counts(t) for _, t in run]
-                grams, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-                if not grams.size:
-                    continue
-                rows = unpack(grams)
-                known.learn(np.unique(rows))
-                vectors, at = known.bind(rows).astype(np.float32), 0
-                for (i, _), (own, counts) in zip(run, parts, strict=True):
-                    if own.size:
-                        bundle = (counts.astype(np.float32) @ vectors[place[at : at + own.size]]).astype(np.float64)
-                        at += own.size
-                        near = unit @ bundle / max(np.linalg.norm(bundle), 1e-9)
-                        best = int(np.argmax(near))
-                        pred[i], score[i] = names[best], min(max(float(near[best]), 0.0), 1.0)
-            yield pd.DataFrame({"lang_pred": pred, "score": score})
-
-    named = F.pandas_udf(nearest, "lang_pred string, score double")
-    out = df.withColumn("_named", named(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_named.lang_pred"), "score": F.col("_named.score")}).drop("_named")
+    state: dict[str, Grams] = {}  # filled in the worker
+
+    def nearest(texts: list) -> list[pa.Array]:
+        known = state.setdefault("grams", Grams())
+        pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        for run in _chunks(texts) if names else ():
+            parts = [gram_counts(t) for _, t in run]
+            grams, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            if not grams.size:
+                continue
+            rows = unpack(grams)
+            known.learn(np.unique(rows))
+            vectors, at = known.bind(rows).astype(np.float32), 0
+            for (i, _), (own, counts) in zip(run, parts, strict=True):
+                if own.size:
+                    bundle = (counts.astype(np.float32) @ vectors[place[at : at + own.size]]).astype(np.float64)
+                    at += own.size
+                    near = unit @ bundle / max(np.linalg.norm(bundle), 1e-9)
+                    best = int(np.argmax(near))
+                    pred[i], score[i] = names[best], min(max(float(near[best]), 0.0), 1.0)
+        return [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+
+    return made_columns(df, text, {"lang_pred": "string", "score": "double"}, nearest, keep_text)
 
 
 def held_out(key: Column) -> Column:
@@ -166,7 +165,7 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn_and_identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def learn_and_identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
     """``df`` with ``held_out, lang_pred, score``; learns from the labelled rows that are not held out and have a key."""
     labelled = df.where(~held_out(F.col(key)) & F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    return identify(df.withColumn("held_out", held_out(F.col(key))), prototypes(labelled, text, lang), text)
+    return identify(df.withColumn("held_out", held_out(F.col(key))), prototypes(labelled, text, lang), text, keep_text)

@@ -81,7 +81,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In which language is each document?"""
     from repograin.llm import language
 
-    return language.learn_and_identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+    return language.learn_and_identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
 
 
 @query("op6_warc")

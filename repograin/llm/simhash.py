@@ -20,14 +20,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repograin.llm.components import components
-from repograin.llm.store import hinted, saved
+from repograin.llm.store import hinted, made_columns, saved
 
 RADIUS = 2
 SHINGLE = 3  # words
@@ -35,7 +34,7 @@ TREE = 4_096  # nodes of a tree, and searches of a slice
 RECALL = 0.95  # of pairs just at the asked similarity
 SHARD = 64  # fingerprints that a shard of sampled bits holds on average
 BROADCAST_ROWS = 200_000
-_SEARCHES = 256  # searches that go down a tree together
+_SEARCHES = 64  # searches that go down a tree together
 _HASHES = 255 << 8  # shingle hashes whose bits are counted together
 
 
@@ -72,13 +71,12 @@ def simhash(text: str | None, shingle: int = SHINGLE, longs: int = 1, repeats: b
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, longs: int = 1, repeats: bool = True) -> DataFrame:
-    """``df`` with ``out``: the fingerprint as bytes."""
+    """``df`` without its text, with ``out``: the fingerprint as bytes."""
 
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in batches:
-            yield pd.Series([simhash(t if isinstance(t, str) else None, shingle, longs, repeats) for t in series], dtype=object)
+    def prints(texts: list) -> list[pa.Array]:
+        return [pa.array([simhash(t, shingle, longs, repeats) for t in texts], pa.binary())]
 
-    return df.withColumn(out, F.pandas_udf(prints, "binary")(F.col(text)))
+    return made_columns(df, text, {out: "binary"}, prints, keep_source=False)
 
 
 class BKTree:
@@ -239,7 +237,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     any other. Null keys count in no minimum; a class of null keys alone has a
     null id. Repeated rows each get their row; other columns are not read.
     """
-    rows = saved(with_fingerprint(df.select(F.col(key).alias("key"), F.col(text).alias("body")), "body", "fp", shingle).drop("body"), "prints")
+    rows = saved(with_fingerprint(df.select(F.col(key).alias("key"), F.col(text).alias("body")), "body", "fp", shingle), "prints")
     return _classes(rows, block_tables(), RADIUS, 1).select(F.col("key").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
@@ -255,7 +253,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = int(bits * apart + 1.5 * math.sqrt(bits * apart * (1 - apart)))
     known = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("body"))
-    rows = saved(with_fingerprint(known, "body", "fp", shingle, longs, repeats=False).drop("body").where(F.col("fp") != F.lit(bytes(8 * longs))), "prints")
+    rows = saved(with_fingerprint(known, "body", "fp", shingle, longs, repeats=False).where(F.col("fp") != F.lit(bytes(8 * longs))), "prints")
     found = _classes(rows, lambda n: sampled_tables(n, bits, apart), radius, longs)
     gone = saved(found.where("key <> component_id").select(F.col("key").alias("_gone"), F.col("mark").alias("_mark")).distinct(), "gone")
     return df.join(hinted(gone, gone.count(), BROADCAST_ROWS), (F.col(key) == F.col("_gone")) & (F.xxhash64(F.col(text)) == F.col("_mark")), "left_anti")

@@ -1,46 +1,38 @@
-"""Tables that an operator saves between its steps, in the folder all executors share."""
+"""What the operators share: saved tables, bounded broadcasts, and columns made by Python from few rows at a time."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
-WHITE = r"[\x20\x09-\x0D]+"  # the white space that separates words here; nothing else does
+from repograin.session import new_folder, saved
 
+__all__ = ["WHITE", "hinted", "made_columns", "new_folder", "saved"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a new local folder only where it is unset and everything runs in one process."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+WHITE = r"[\x20\x09-\x0D]+"  # the white space that separates words here; nothing else does
+ROWS = 256  # texts that lie unpacked in a worker
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A name for a new folder there; it is deleted when the application ends."""
-    home = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(home)
-    files = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(jvm_path)
-    files.deleteOnExit(jvm_path)
-    return f"{home}/{label}-{uuid.uuid4().hex}"
+def hinted(df: DataFrame, rows: int, bound: int) -> DataFrame:
+    """Ask for a broadcast only if the counted rows keep to the bound; beyond it Spark joins by shuffle."""
+    return F.broadcast(df) if rows <= bound else df
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write the rows once and read them back: short lineage, fixed contents, no loss with an executor."""
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def made_columns(df: DataFrame, source: str, made: dict[str, str], make: Callable[[list], list[pa.Array]], keep_source: bool = True) -> DataFrame:
+    """``df`` with columns that ``make`` computes from ``source``'s values, ``ROWS`` at a time; other columns pass by unopened."""
+    sent = [c for c in df.columns if c == source or c not in made]
+    kept = [c for c in sent if c not in made and (keep_source or c != source)]
+    places, read = [sent.index(c) for c in kept], sent.index(source)
+    schema = StructType([df.schema[c] for c in kept] + [StructField(n, DataType.fromDDL(t)) for n, t in made.items()])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *make(part.column(read).to_pylist())], [*kept, *made])
 
-def hinted(df: DataFrame, rows: int, bound: int) -> DataFrame:
-    """Ask for a broadcast only if the counted rows keep to the bound; beyond it Spark joins by shuffle."""
-    return F.broadcast(df) if rows <= bound else df
+    return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, schema)
