@@ -22,20 +22,18 @@ WILD = "<*>"
 BROADCAST_ROWS = 200_000
 
 
-def tokens(line: Column) -> Column:
-    """Words of a line, those with a digit as the wildcard."""
-    words = F.filter(F.split(line, WHITE), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), WILD).otherwise(w))
+_WITH_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"  # from a token's start, without going back
 
 
-def _hash(value: Column) -> Column:
-    """60 bits of MD5, which other engines can compute as well."""
-    return F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("long")
+def tokens(line: Column) -> Column:
+    """Words of a line that has one, those with a digit as the wildcard."""
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _WITH_DIGIT, WILD)).otherwise(line)
+    return F.split(F.btrim(masked, F.lit(" \t\n\x0b\f\r")), WHITE)
 
 
 def leaf(words: Column) -> Column:
     """The path through the tree: token count and leading tokens."""
-    return _hash(F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH)))
+    return F.xxhash64(F.size(words), F.slice(words, 1, DEPTH))
 
 
 def numbered_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -50,7 +48,8 @@ def line_templates(df: DataFrame, key: str = "doc_id", text: str = "text", suppo
     document, and so are rows that repeat a key. Lines without words are never
     dropped. Any number of lines may share a template.
     """
-    placed = numbered_lines(df, key, text).withColumn("words", tokens(F.col("line"))).where(F.size("words") > 0).select("key", "line_no", leaf(F.col("words")).alias("leaf"), "words")
+    spoken = numbered_lines(df, key, text).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    placed = spoken.withColumn("words", tokens(F.col("line"))).select("key", "line_no", leaf(F.col("words")).alias("leaf"), "words")
     # leaves that lie in several documents; the least and the largest key tell without a set of keys
     spread = placed.groupBy("leaf").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max(F.col("key").isNull()).alias("none"))
     shared = saved(spread.where("low < high or (none and low is not null)").select("leaf"), "leaves")
