@@ -79,7 +79,8 @@ def project_type(fact: DataFrame) -> DataFrame:
 
 @operator("classify.alternatives")
 def alternatives(fact: DataFrame) -> DataFrame:
-    return ranked(weighted(fact)).where(F.col("rank").between(2, 4))
+    """All types but the best, by rank."""
+    return ranked(weighted(fact)).where(F.col("rank") >= 2)
 
 
 @operator("classify.entry_points")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from repograin.functions.scores import bucket, clamp01, r6
 from repograin.functions.text import contains_any, lookup
@@ -139,16 +138,12 @@ def grades(components: DataFrame, metrics: DataFrame) -> DataFrame:
 
 @operator("insights.roadmap")
 def roadmap(components: DataFrame, stories: DataFrame, metrics: DataFrame, services: DataFrame) -> DataFrame:
-    """Three phases; rank limits are cut before the shuffle, in-progress items are all kept."""
-    def top(df, order, n):
-        w = Window.partitionBy("repo").orderBy(order)
-        return df.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
-
+    """Three phases with all their items."""
     item = lambda df, phase, kind, text: df.select("repo", F.lit(phase).alias("phase"), F.lit(kind).alias("kind"), text.alias("item"))
-    debt = item(top(components.where("complexity > 80"), "path", 3), 1, "debt", F.col("name"))
-    todo = item(top(components.where("status = 'Todo'"), "path", 2), 1, "todo", F.col("name"))
+    debt = item(components.where("complexity > 80"), 1, "debt", F.col("name"))
+    todo = item(components.where("status = 'Todo'"), 1, "todo", F.col("name"))
     doing = item(components.where("status = 'InProgress'"), 2, "finish", F.col("name"))
-    fresh = item(top(stories.where(F.col("priority").isin("High", "Critical")), "n", 3), 2, "story", F.col("title"))
+    fresh = item(stories.where(F.col("priority").isin("High", "Critical")), 2, "story", F.col("title"))
     m = metrics.join(services.select("repo").distinct().withColumn("svc", F.lit(True)), "repo", "left")
     later = F.array_compact(F.array(
         F.when(F.col("technical_debt") > 0.6, "Architecture Refactoring"), F.when(F.col("test_coverage") < 0.7, "Testing Enhancement"), F.when(F.col("complexity") > 0.8, "Complexity Reduction"),

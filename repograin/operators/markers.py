@@ -96,7 +96,7 @@ def summary(todos: DataFrame) -> DataFrame:
 
 
 @operator("markers.most_marked")
-def most_marked(todos: DataFrame, files: DataFrame, limit: int = 10) -> DataFrame:
+def most_marked(todos: DataFrame, files: DataFrame, limit: int) -> DataFrame:
     """Files with the most markers, with the true density per 100 lines."""
     top = (
         todos.groupBy("repo", "path")
@@ -104,7 +104,7 @@ def most_marked(todos: DataFrame, files: DataFrame, limit: int = 10) -> DataFram
         .orderBy(F.desc("todo_count"), "repo", "path")
         .limit(limit)
     )
-    # Ten rows: the join side is bounded by the limit, so it may be broadcast.
+    # ``limit`` rows: the join side is bounded by the limit, so it may be broadcast.
     sizes = files.join(F.broadcast(top.select("repo", "path")), ["repo", "path"], "left_semi").select(
         "repo", "path", F.size(lines(F.col("content"))).alias("line_count")
     )
@@ -115,7 +115,7 @@ def most_marked(todos: DataFrame, files: DataFrame, limit: int = 10) -> DataFram
 
 
 @operator("markers.most_marked_per_repo")
-def most_marked_per_repo(todos: DataFrame, limit: int = 10) -> DataFrame:
+def most_marked_per_repo(todos: DataFrame, limit: int) -> DataFrame:
     w = Window.partitionBy("repo").orderBy(F.desc("todo_count"), "path")
     return (
         todos.groupBy("repo", "path")

@@ -10,6 +10,7 @@ from repograin.functions.scores import r6
 from repograin.functions.text import lookup
 from repograin.operators import markers
 from repograin.operators.conflicts import description_tokens, first_alike
+from repograin.functions.ranking import running_number
 from repograin.registry import operator
 from repograin.rules import reality as R
 
@@ -104,8 +105,8 @@ def priorities(conflicts: DataFrame) -> DataFrame:
 
 
 @operator("status.recommended_actions")
-def recommended_actions(conflicts: DataFrame, todos: DataFrame, limit: int = 10) -> DataFrame:
-    """Critical conflicts first, then urgent markers; at most ten per repository."""
+def recommended_actions(conflicts: DataFrame, todos: DataFrame, limit: int | None = None) -> DataFrame:
+    """Critical conflicts first, then urgent markers, ranked in each repository; all of them, or the first ``limit``."""
     kinds = {"ClaimedButNotImplemented": "Implement", "ImplementedButNotClaimed": "Document", "ImplementationMismatch": "Complete"}
     group = {"ImplementationMismatch": 0, "ClaimedButNotImplemented": 1, "ImplementedButNotClaimed": 2}
     first = conflicts.where(F.col("severity") == "Critical").select(
@@ -119,9 +120,12 @@ def recommended_actions(conflicts: DataFrame, todos: DataFrame, limit: int = 10)
         F.concat(F.lit("Address TODO: "), d).alias("description"), d.alias("target_feature"),
         F.when(F.col("priority") == "Critical", "Urgent").otherwise("High").alias("priority"), markers.effort(d).alias("effort"),
     )
+    every = first.unionByName(then)
+    if limit is None:
+        return running_number(every, ["repo"], ["g", "o1", "o2"], "rank").drop("g", "o1", "o2")
     # A rank limit is cut per task before the shuffle.
     w = Window.partitionBy("repo").orderBy("g", "o1", "o2")
-    return first.unionByName(then).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("g", "o1", "o2")
+    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("g", "o1", "o2")
 
 
 @operator("status.accuracy")

@@ -257,13 +257,12 @@ def _(c):
     return insights.grades(c.components, c.metrics)
 
 
-_TOP = lambda src, cond, order, n: f"(SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {order}) AS k FROM {src} WHERE {cond}) WHERE k <= {n}"
 
 
 @query(
     "y12_phased_roadmap",
-    f"""SELECT repo, 1 AS phase, 'debt' AS kind, name AS item FROM {_TOP("components", "complexity > 80", "path", 3)} UNION ALL SELECT repo, 1, 'todo', name FROM {_TOP("components", "status = 'Todo'", "path", 2)} UNION ALL SELECT repo, 2, 'finish', name FROM components WHERE status = 'InProgress'
-        UNION ALL SELECT repo, 2, 'story', title FROM {_TOP("stories", "priority IN ('High', 'Critical')", "n", 3)} UNION ALL SELECT repo, 3, 'enhance', 'Architecture Refactoring' FROM metrics WHERE technical_debt > 6e-1 UNION ALL SELECT repo, 3, 'enhance', 'Testing Enhancement' FROM metrics WHERE test_coverage < 7e-1
+    f"""SELECT repo, 1 AS phase, 'debt' AS kind, name AS item FROM components WHERE complexity > 80 UNION ALL SELECT repo, 1, 'todo', name FROM components WHERE status = 'Todo' UNION ALL SELECT repo, 2, 'finish', name FROM components WHERE status = 'InProgress'
+        UNION ALL SELECT repo, 2, 'story', title FROM stories WHERE priority IN ('High', 'Critical') UNION ALL SELECT repo, 3, 'enhance', 'Architecture Refactoring' FROM metrics WHERE technical_debt > 6e-1 UNION ALL SELECT repo, 3, 'enhance', 'Testing Enhancement' FROM metrics WHERE test_coverage < 7e-1
         UNION ALL SELECT repo, 3, 'enhance', 'Complexity Reduction' FROM metrics WHERE complexity > 8e-1 UNION ALL SELECT repo, 3, 'enhance', 'Integration Expansion' FROM metrics AS m WHERE NOT EXISTS (SELECT 1 FROM files AS f WHERE f.repo = m.repo AND f.path = 'package.json' AND {has_any("content", ['"axios"', '"fetch"'])})
         UNION ALL SELECT repo, 3, 'enhance', unnest(['Performance Optimization', 'Documentation & Knowledge Transfer']) FROM metrics""",
 )

@@ -100,7 +100,7 @@ def _(c):
     return c.types
 
 
-@query("g4_alternatives", "SELECT repo, project_type, score, rank FROM type_ranked WHERE rank BETWEEN 2 AND 4")
+@query("g4_alternatives", "SELECT repo, project_type, score, rank FROM type_ranked WHERE rank >= 2")
 def _(c):
     return classify.alternatives(c.facts)
 

@@ -91,7 +91,7 @@ def _(c):
         """.replace("t.*,", "t.repo, t.path, todo_count, high_priority_count, line_count,"),
 )
 def _(c):
-    return markers.most_marked(c.todos, c.files)
+    return markers.most_marked(c.todos, c.files, 10)
 
 
 @query(
@@ -100,7 +100,7 @@ def _(c):
        row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, path) AS rank FROM todos GROUP BY repo, path) WHERE rank <= 10""",
 )
 def _(c):
-    return markers.most_marked_per_repo(c.todos)
+    return markers.most_marked_per_repo(c.todos, 10)
 
 
 @query("t8_marker_topic", f"SELECT repo, {case_any('lower(description)', M.TOPICS, M.DEFAULT_TOPIC)} AS category, count(*) AS n, {rnd(f'avg({_URGENCY})')} AS mean_priority FROM todos GROUP BY repo, category")

@@ -286,7 +286,7 @@ def _(c):
         (SELECT repo, {case_map("conflict_type", {"ImplementationMismatch": 0, "ClaimedButNotImplemented": 1, "ImplementedButNotClaimed": 2})} AS g, coalesce(claim_id, impl_id) AS o1, 0 AS o2,
           {case_map("conflict_type", {"ClaimedButNotImplemented": "Implement", "ImplementedButNotClaimed": "Document", "ImplementationMismatch": "Complete"})} AS action_type, action AS description,
           coalesce(claim_text, impl_text) AS target_feature, 'Urgent' AS priority, 'Medium' AS effort FROM conflicts WHERE severity = 'Critical'
-         UNION ALL SELECT repo, 3, path, line_no, 'Implement', concat('Address TODO: ', description), description, CASE priority WHEN 'Critical' THEN 'Urgent' ELSE 'High' END, {_EFFORT} FROM todos WHERE priority IN ('Critical', 'High'))) WHERE rank <= 10""",
+         UNION ALL SELECT repo, 3, path, line_no, 'Implement', concat('Address TODO: ', description), description, CASE priority WHEN 'Critical' THEN 'Urgent' ELSE 'High' END, {_EFFORT} FROM todos WHERE priority IN ('Critical', 'High')))""",
 )
 def _(c):
     return status.recommended_actions(c.conflicts, c.todos)
