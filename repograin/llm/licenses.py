@@ -124,8 +124,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     hinted = df.select(F.col(key).alias("key"), F.col(text).alias("body")).where(F.col("body").rlike(_HINT))
     read = hinted.select("key", F.explode(readings(F.col("body"))).alias("said"))
-    known = F.filter(F.transform("said", normalized), lambda s: F.length(s) < 2_000)  # no known sentence is nearly that long
-    left = read.select("key", F.array_join(F.transform(known, identifier), "").alias("left")).where("left <> ''")
+    left = read.select("key", F.array_join(F.transform(F.transform("said", normalized), identifier), "").alias("left")).where("left <> ''")
     found = []
     for number, (license_id, ids) in enumerate(RULES, 1):
         before = F.col("left")
