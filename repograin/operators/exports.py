@@ -9,12 +9,19 @@ from repograin.registry import operator
 
 
 @operator("exports.write")
-def write(df: DataFrame, path: str, fmt: str = "parquet", by: str | None = "repo", mode: str = "overwrite") -> None:
-    """Write a result table; with ``by`` one folder per key, spread so that a hot key fills several files."""
-    out = df.write.mode(mode)
-    if by and by in df.columns:
-        out = out.partitionBy(by)
-    getattr(out, fmt)(path)
+def write(df: DataFrame, path: str, fmt: str = "parquet", by: str | None = "repo", mode: str = "overwrite", rows_per_file: int = 1_000_000) -> None:
+    """Write a result table; with ``by`` one folder per key.
+
+    Rows are clustered by key before the write, so a key's folder has one file,
+    or one for each ``rows_per_file`` of its rows: a hot key fills several.
+    """
+    if not by or by not in df.columns:
+        getattr(df.write.mode(mode), fmt)(path)
+        return
+    files = df.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    dealt = df.join(files, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_file", F.pmod(F.xxhash64(*hashed), F.col("_files")))
+    getattr(dealt.repartition(by, "_file").drop("_by", "_files", "_file").write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(by), fmt)(path)
 
 
 @operator("exports.feature_status")

@@ -78,24 +78,34 @@ def keyword_scorer(texts: list[str]) -> list[str]:
 
 @operator("scoring.score")
 def score(prompt: DataFrame, key: str, scorer: Callable[[list[str]], list[str]] = keyword_scorer, retries: int = 2) -> DataFrame:
-    """One reply per batch; a batch that keeps failing yields a null reply and the rest go on."""
+    """One reply per batch, and the error's text for a batch that keeps failing; the rest go on.
+
+    A chunk's prompts go to the scorer in one call. If the call fails, each
+    prompt is tried alone, ``retries`` times more than once.
+    """
+
+    def alone(text: str) -> tuple[str | None, str | None]:
+        error = None
+        for _ in range(retries + 1):
+            try:
+                return scorer([text])[0], None
+            except Exception as failed:  # the service's errors are its own; the last one is reported
+                error = f"{type(failed).__name__}: {failed}"
+        return None, error
 
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks:
-            replies: list[str | None] = []
-            for text in pdf["prompt"]:
-                reply = None
-                for _ in range(retries + 1):
-                    try:
-                        reply = scorer([text])[0]
-                        break
-                    except Exception:  # the service's errors are its own; count the attempt
-                        continue
-                replies.append(reply)
-            yield pd.DataFrame({key: pdf[key], "batch": pdf["batch"], "reply": replies})
+            texts = list(pdf["prompt"])
+            try:
+                found = [(reply, None) for reply in scorer(texts)]
+                if len(found) != len(texts):
+                    raise ValueError("not one reply per prompt")
+            except Exception:  # tried again one by one
+                found = [alone(text) for text in texts]
+            yield pd.DataFrame({key: pdf[key], "batch": pdf["batch"], "reply": [r for r, _ in found], "error": [e for _, e in found]})
 
     kind = dict(prompt.dtypes)[key]
-    return prompt.select(key, "batch", "prompt").mapInPandas(run, schema=f"{key} {kind}, batch bigint, reply string")
+    return prompt.select(key, "batch", "prompt").mapInPandas(run, schema=f"{key} {kind}, batch bigint, reply string, error string")
 
 
 def json_part(reply: Column) -> Column:

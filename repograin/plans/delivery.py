@@ -378,7 +378,7 @@ def _(c):
 
 @query("v3_batch_scoring", "SELECT role, CAST(batch AS BIGINT) AS batch, reply FROM scored")
 def _(c):
-    return scoring.score(c.prompts, "role")
+    return scoring.score(c.prompts, "role").drop("error")
 
 
 # Replies in three forms: plain JSON, JSON inside text, free text that mentions a word.

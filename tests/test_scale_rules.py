@@ -94,3 +94,31 @@ def test_saved_frames_lie_in_the_shared_folder(spark):
     df = saved(spark.range(3).withColumn("nothing", F.lit(None)))
     folder = shared_dir(spark).removeprefix("file:").lstrip("/")
     assert df.count() == 3 and all(folder in f for f in df.inputFiles())
+
+
+def test_export_clusters_keys_and_splits_hot_ones(spark, tmp_path):
+    import glob
+
+    from repograin.operators import exports
+
+    df = spark.range(0, 900, 1, 7).select(F.when(F.col("id") < 600, "hot").when(F.col("id") < 890, F.concat(F.lit("k"), (F.col("id") % 3).cast("string"))).alias("repo"), "id")
+    exports.write(df, f"{tmp_path}/out", rows_per_file=200)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 900 and back.where("repo is null").count() == 10
+    assert len(glob.glob(f"{tmp_path}/out/repo=k1/*.parquet")) == 1
+    assert len(glob.glob(f"{tmp_path}/out/repo=hot/*.parquet")) >= 3
+
+
+def test_scorer_gets_whole_chunks_and_reports_errors(spark):
+    from repograin.operators import scoring
+
+    df = spark.createDataFrame([("a", i, "bad" if i == 3 else f"p{i}") for i in range(6)], "k string, batch bigint, prompt string").coalesce(1)
+
+    def scorer(texts):
+        if "bad" in texts:
+            raise ValueError("refused")
+        return [f"{t} of {len(texts)}" for t in texts]
+
+    got = {r.batch: r for r in scoring.score(df, "k", scorer).collect()}
+    assert got[3].reply is None and got[3].error == "ValueError: refused" and got[0].reply == "p0 of 1"
+    assert {r.reply for r in scoring.score(df.where("batch <> 3"), "k", scorer).collect()} == {f"p{i} of 5" for i in (0, 1, 2, 4, 5)}
