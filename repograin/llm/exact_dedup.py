@@ -52,6 +52,13 @@ def repeated_cells(hashes: DataFrame, rows: int) -> tuple[DataFrame, int]:
     return saved(masks, "bloom"), words
 
 
+def members(hashes: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """A filter of all values of column ``h``, never larger than what is broadcast; the fuller it is, the more other values pass."""
+    words = min(FILTER_WORDS, 1 << max(6, (max(rows, 1) * BITS_PER_ROW - 1).bit_length() - 6))
+    masks = hashes.select(_word(F.col("h"), words).alias("word"), _bits(F.col("h")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("mask"))
+    return saved(masks, "bloom"), words
+
+
 def probe(df: DataFrame, h: Column, bloom: DataFrame, words: int) -> DataFrame:
     """``df`` with the column ``maybe``: true if the row's text may occur again."""
     small = hinted(bloom.select(F.col("word").alias("_w"), F.col("mask").alias("_m")), bloom.count(), FILTER_WORDS)

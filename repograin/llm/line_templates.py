@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repograin.llm.exact_dedup import members, probe
 from repograin.llm.store import WHITE, hinted, saved
 
 DEPTH = 3  # leading tokens below the token count
 SUPPORT = 3  # documents in which a token, and a template, must occur
 SIMILARITY = 0.7  # share of a template's places that are not generalised
 WILD = "<*>"
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000  # leaves, of one number
+BROADCAST_TEXTS = 100_000
 
 
 _WITH_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"  # from a token's start, without going back
@@ -53,7 +55,10 @@ def line_templates(df: DataFrame, key: str = "doc_id", text: str = "text", suppo
     # leaves that lie in several documents; the least and the largest key tell without a set of keys
     spread = placed.groupBy("leaf").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max(F.col("key").isNull()).alias("none"))
     shared = saved(spread.where("low < high or (none and low is not null)").select("leaf"), "leaves")
-    lines = saved(placed.join(hinted(shared, shared.count(), BROADCAST_ROWS), "leaf", "left_semi"), "lines")
+    leaves = shared.count()
+    bloom, size = members(shared.withColumnRenamed("leaf", "h"), leaves)
+    near = probe(placed, F.col("leaf"), bloom, size).where("maybe").drop("maybe")  # keeps most other lines from being shuffled
+    lines = saved(near.join(hinted(shared, leaves, BROADCAST_ROWS), "leaf", "left_semi"), "lines")
     # equal lines of a leaf are looked at once per document, then once altogether
     shapes = lines.select("key", "leaf", "words").distinct().groupBy("leaf", "words").agg(F.count("*").alias("n"))
     shapes = saved(shapes.withColumn("shape", F.monotonically_increasing_id()), "shapes")
@@ -65,10 +70,10 @@ def line_templates(df: DataFrame, key: str = "doc_id", text: str = "text", suppo
     templates = saved(
         shapes.join(fixed, "shape").where(F.size("fixed") >= similarity * F.size("words"))
         .select("leaf", "words", F.array_join(general, " ").alias("template")), "templates")
-    matched = saved(lines.join(hinted(templates, templates.count(), BROADCAST_ROWS), ["leaf", "words"]).select("key", "line_no", "template"), "matched")
+    matched = saved(lines.join(hinted(templates, templates.count(), BROADCAST_TEXTS), ["leaf", "words"]).select("key", "line_no", "template"), "matched")
     counts = matched.select("key", "template").distinct().groupBy("template").agg(F.count("*").alias("documents")).where(F.col("documents") >= support)
     counts = saved(counts, "recurring")
-    return matched.join(hinted(counts, counts.count(), BROADCAST_ROWS), "template").select(F.col("key").alias(key), "line_no", "template", "documents")
+    return matched.join(hinted(counts, counts.count(), BROADCAST_TEXTS), "template").select(F.col("key").alias(key), "line_no", "template", "documents")
 
 
 def without_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", support: int = SUPPORT, similarity: float = SIMILARITY) -> DataFrame:
@@ -82,5 +87,5 @@ def without_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", su
     cut = saved(found.groupBy("_doc").agg(F.collect_set("line_no").alias("_cut")).select(F.col("_doc.key").alias("_key"), F.col("_doc.mark").alias("_mark"), "_cut"), "cuts")  # at most a document's lines
     lines = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("_cut", i + 1))
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_mark"))
-    joined = df.join(hinted(cut, cut.count(), BROADCAST_ROWS), same, "left")
+    joined = df.join(hinted(cut, cut.count(), BROADCAST_TEXTS), same, "left")
     return joined.withColumn(text, F.when(F.col("_cut").isNotNull(), F.array_join(lines, "\n")).otherwise(F.col(text))).select(*df.columns)
