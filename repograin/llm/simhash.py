@@ -7,15 +7,12 @@ radius of the distance it met. A shard over ``TREE`` fingerprints is cut into
 several trees; each tree is sent to every slice of the shard's searches, so no
 shard meets in one task and no pair is left out.
 
-Two ways to deal: for a radius up to 2 of 64 bits, the values of each two of
-four 16-bit blocks (two of them must agree, so every pair is found); for a
-similarity, samples of bits, as many as find a pair of that similarity with the
-stated recall.
+Fingerprints are dealt by the values of each two of four 16-bit blocks: for a
+radius up to 2 of 64 bits, two of them must agree, so every pair is found.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,14 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repograin.llm import near_copies
 from repograin.llm.components import components
 from repograin.llm.store import hinted, made_columns, saved
 
 RADIUS = 2
 SHINGLE = 3  # words
 TREE = 4_096  # nodes of a tree, and searches of a slice
-RECALL = 0.95  # of pairs just at the asked similarity
-SHARD = 64  # fingerprints that a shard of sampled bits holds on average
 BROADCAST_ROWS = 200_000
 _SEARCHES = 64  # searches that go down a tree together
 _HASHES = 255 << 8  # shingle hashes whose bits are counted together
@@ -145,17 +141,6 @@ def block_tables() -> list[np.ndarray]:
     return [np.concatenate([np.arange(16 * x, 16 * x + 16), np.arange(16 * y, 16 * y + 16)]) for x, y in combinations(range(4), 2)]
 
 
-def sampled_tables(rows: int, bits: int, apart: float) -> list[np.ndarray]:
-    """Samples of bit places: pairs whose bits differ with probability ``apart`` agree on one with the probability ``RECALL``.
-
-    A sample has as many bits as leave ``SHARD`` unlike fingerprints a shard, so work grows little faster than the rows.
-    """
-    size = min(32, max(8, round(math.log2(max(rows, 1) / SHARD))))
-    number = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - apart) ** size))
-    rng = np.random.default_rng(bits)
-    return [np.sort(rng.choice(bits, size, replace=False)) for _ in range(number)]
-
-
 def _bytes_of(values: np.ndarray) -> pa.Array:
     """(n, longs) -> binary column."""
     width = values.shape[1] * 8
@@ -220,8 +205,6 @@ def links(prints: DataFrame, tables: list[np.ndarray], radius: int, longs: int =
 def _classes(rows: DataFrame, tables, radius: int, longs: int) -> DataFrame:
     """``rows`` (key, fp, more) with ``component_id``."""
     prints = saved(rows.groupBy("fp").agg(F.min("key").alias("low")), "prints")
-    if callable(tables):
-        tables = tables(prints.count())
     roots = saved(components(links(prints, tables, radius, longs)), "roots")
     linked = prints.join(roots, prints.fp == roots.node)
     lows = linked.groupBy("root").agg(F.min("low").alias("id"))
@@ -241,19 +224,6 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     return _classes(rows, block_tables(), RADIUS, 1).select(F.col("key").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, longs: int = 8) -> DataFrame:
-    """The rows that stand for their class: those with its least key.
-
-    Links are estimated Jaccard similarities of distinct word shingles from
-    ``similarity`` on: the angle between two texts' shingle sets shows in the
-    share of differing bits, to which one and a half standard errors are added.
-    Rows without words or without a key stand for themselves.
-    """
-    bits = 64 * longs
-    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = int(bits * apart + 1.5 * math.sqrt(bits * apart * (1 - apart)))
-    known = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("body"))
-    rows = saved(with_fingerprint(known, "body", "fp", shingle, longs, repeats=False).where(F.col("fp") != F.lit(bytes(8 * longs))), "prints")
-    found = _classes(rows, lambda n: sampled_tables(n, bits, apart), radius, longs)
-    gone = saved(found.where("key <> component_id").select(F.col("key").alias("_gone"), F.col("mark").alias("_mark")).distinct(), "gone")
-    return df.join(hinted(gone, gone.count(), BROADCAST_ROWS), (F.col(key) == F.col("_gone")) & (F.xxhash64(F.col(text)) == F.col("_mark")), "left_anti")
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows that stand for their class of near copies, by exact similarity; see ``near_copies``."""
+    return near_copies.keep_one(df, key, text, similarity, shingle)
