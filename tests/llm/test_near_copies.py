@@ -49,6 +49,16 @@ def test_pairs_below_the_similarity_stay(docs):
     assert kept(docs, rows) == plain(rows) == sorted(k for k, _ in rows)
 
 
+def test_pairs_at_the_similarity_go(docs):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        for at, (short, long) in enumerate(((8, 9), (16, 19), (24, 29), (84, 104), (404, 504))):  # 4 of 5, 12 of 15, 20 of 25, 80 of 100, 400 of 500 shingles
+            text = words_of(rng, long)
+            rows += [(100 * i + 2 * at, " ".join(text)), (100 * i + 2 * at + 1, " ".join(text[:short]))]
+    assert kept(docs, rows) == plain(rows) == sorted(k for k, _ in rows if k % 2 == 0)
+
+
 def test_groups_and_common_passages_equal_all_pairs(docs, monkeypatch):
     monkeypatch.setattr(near_copies, "SLICE", 16)
     monkeypatch.setattr(near_copies, "SAMPLE", 50)
@@ -67,3 +77,8 @@ def test_groups_and_common_passages_equal_all_pairs(docs, monkeypatch):
     assert kept(docs, rows) == want and len(want) < len(rows) - 60
     monkeypatch.setattr(near_copies, "PAIRS", 0)  # leaders in all rounds
     assert kept(docs, rows) == want
+
+
+def test_prefix_size():
+    for n in range(1, 400):
+        assert near_copies.prefix_size(n, 0.8) == n - -(-4 * n // 5) + 1
