@@ -152,3 +152,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     mix, rows = mixing.plan(table(spark, sf_dir, "documents"))
     return mix.apply(rows, "key").select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which sequence, and where in it, does each piece of each document lie?"""
+    import public_tokenizers
+
+    from repograin.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.with_crc32(packing.pack(table(spark, sf_dir, "documents"), path), path)
