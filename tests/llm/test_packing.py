@@ -132,12 +132,13 @@ def test_costs_are_balanced():
     cost = {}
     for _, _, n, s, _ in packing.lay_out(lengths):
         cost[s] = cost.get(s, 0) + n + n * n / packing.RATIO
-    by_order = {}  # filled one after the other, in the order they come
-    at = 0
-    for n in lengths:
-        while n:
-            part = min(n, 4096 - at % 4096)
-            by_order[at // 4096] = by_order.get(at // 4096, 0) + part + part * part / packing.RATIO
-            at, n = at + part, n - part
-    full = sorted(cost.values())[12:]
-    assert np.std(full) < 0.9 * np.std(list(by_order.values())[:-1])
+    first_fit, left = [], []  # longest first, to the first sequence that has room, whatever it costs
+    for n in sorted(lengths, reverse=True):
+        at = next((s for s, room in enumerate(left) if room >= n), len(left))
+        if at == len(left):
+            left.append(packing.ROOM)
+            first_fit.append(0)
+        left[at] -= n
+        first_fit[at] += n + n * n / packing.RATIO
+    full = [c for s, c in cost.items() if s < sum(lengths) // packing.ROOM]
+    assert np.std(full) < 0.9 * np.std(first_fit[:-1])
