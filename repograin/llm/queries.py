@@ -163,3 +163,67 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.with_crc32(packing.pack(table(spark, sf_dir, "documents"), path), path)
+
+
+def _round(n: int) -> str:
+    """SQL of one assignment of all vectors, and of the centroids that follow."""
+    return f"""
+a{n} AS MATERIALIZED (
+  SELECT k.rid, min(struct_pack(d := list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c := c.c)) AS m
+  FROM k CROSS JOIN c{n} c GROUP BY k.rid),
+s{n} AS (
+  SELECT a.m.c AS c, u.p, sum(u.x)::HUGEINT AS s, count(*)::HUGEINT AS n
+  FROM a{n} a JOIN (SELECT rid, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM k) u USING (rid) GROUP BY ALL),
+n{n} AS (SELECT c, list((((s - ((s % n) + n) % n) // n))::BIGINT ORDER BY p) AS v FROM s{n} GROUP BY c),
+c{n + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.v, c.v) AS v FROM c{n} c LEFT JOIN n{n} n ON n.c = c.c)"""
+
+
+@query("op12_clusters", sql=f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h,
+         list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, rid) - 1)::INT AS c, v FROM k QUALIFY c < 16),
+{",".join(_round(n) for n in range(3))},
+a AS (
+  SELECT k.rid, k.vec_id, min(struct_pack(d := list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c := c.c)) AS m
+  FROM k CROSS JOIN c3 c GROUP BY k.rid, k.vec_id)
+SELECT a.vec_id, a.m.c AS cluster, a.m.d AS distance, (sum(a.m.d) OVER (PARTITION BY a.m.c))::BIGINT AS cluster_inertia,
+       (sum(a.m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a JOIN c3 c ON c.c = a.m.c""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which cluster is each vector, and how far from its centre?"""
+    from repograin.llm import bit_planes
+
+    return bit_planes.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_filter_audit", sql=f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{SQL_WORD}') AS words FROM t),
+d AS (
+  SELECT part, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic,
+    [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+     regexp_matches(text, '[#$%&*|]'), doc_id > first] AS fails FROM w),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+f AS (SELECT unnest(range(1, 6)) AS f),
+o AS (SELECT [a.f, b.f, c.f, e.f, h.f] AS o FROM f a, f b, f c, f e, f h WHERE len(list_distinct([a.f, b.f, c.f, e.f, h.f])) = 5),
+s AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+r AS (
+  SELECT part, o, step, o[step] AS own,
+    coalesce(sum(n) FILTER (NOT list_bool_or(list_transform(o[1:step], lambda i: fails[i]))), 0) AS kept,
+    coalesce(sum(n) FILTER (fails[o[step]] AND list_position(list_transform(o, lambda i: fails[i]), true) = step), 0) AS removed,
+    coalesce(sum(n) FILTER (fails[o[step]] AND list_position(list_transform(o, lambda i: fails[i]), true) < step), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails[o[step]] AND len(list_filter(fails, lambda x: x)) = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (fails[o[step]] AND list_position(list_transform(o, lambda i: fails[i]), true) = step), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (fails[o[step]] AND list_position(list_transform(o, lambda i: fails[i]), true) = step), 0) AS toxic_lost
+  FROM g CROSS JOIN s GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+  redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What does each filter remove, at each place of every order?"""
+    from repograin.llm import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
