@@ -30,9 +30,20 @@ def mentions(segments: DataFrame) -> DataFrame:
 
 
 @operator("graph.edges")
-def edges(found: DataFrame) -> DataFrame:
-    """Directed module edges with the number of mentioning segments."""
-    return found.groupBy("repo", F.col("module").alias("src"), F.col("target").alias("dst")).agg(F.count("*").alias("mentions"))
+def edges(found: DataFrame, resolved: DataFrame, segments: DataFrame) -> DataFrame:
+    """(repo, src, dst, ref_type, strength, refs): typed, directed module edges.
+
+    An import's strength is the matched share of what it names, a mention's the
+    share of the module's segments that mention the other; ``refs`` counts the
+    import specifications, or the mentioning segments.
+    """
+    size = segments.groupBy("repo", F.lower(file_stem(F.col("path"))).alias("src")).agg(F.count("*").alias("n"))
+    mentioned = found.groupBy("repo", F.col("module").alias("src"), F.col("target").alias("dst")).agg(F.count("*").alias("refs")).join(size, ["repo", "src"])
+    stem = lambda path: F.lower(file_stem(F.col(path)))
+    ends = resolved.where("target IS NOT NULL").select("repo", stem("path").alias("src"), stem("target").alias("dst"), (F.col("path") == F.col("target")).alias("own"), "strength")
+    imported = ends.where((F.col("src") != F.col("dst")) | F.col("own")).groupBy("repo", "src", "dst").agg(F.max("strength").alias("strength"), F.count("*").alias("refs"))
+    return imported.select("repo", "src", "dst", F.lit("import").alias("ref_type"), "strength", "refs").unionByName(
+        mentioned.select("repo", "src", "dst", F.lit("mention").alias("ref_type"), r6(F.col("refs") / F.col("n")).alias("strength"), "refs"))
 
 
 @operator("graph.related")
@@ -52,19 +63,21 @@ def import_edges(components: DataFrame) -> DataFrame:
 
 
 @operator("graph.missing")
-def missing(functional: DataFrame, components: DataFrame) -> DataFrame:
-    known = components.select("repo", F.lower("name").alias("dst")).distinct()
-    return functional.join(known, ["repo", "dst"], "left_anti").select("repo", "src", "dst")
+def missing(resolved: DataFrame) -> DataFrame:
+    """Imports that lead to no file of the repository: (repo, src, spec)."""
+    return resolved.where("target IS NULL").select("repo", F.lower(file_stem(F.col("path"))).alias("src"), "spec").distinct()
 
 
 @operator("graph.orphans")
-def orphans(segments: DataFrame, found: DataFrame) -> DataFrame:
-    """Segments that mention no other module."""
-    return segments.select("repo", "segment_id").join(found.select("repo", "segment_id").distinct(), ["repo", "segment_id"], "left_anti")
+def orphans(segments: DataFrame, found: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Segments that mention no other module and whose file imports none of its repository."""
+    importing = resolved.where("target IS NOT NULL").select("repo", "path").distinct()
+    quiet = segments.select("repo", "path", "segment_id").join(found.select("repo", "segment_id").distinct(), ["repo", "segment_id"], "left_anti")
+    return quiet.join(importing, ["repo", "path"], "left_anti").select("repo", "segment_id")
 
 
-@operator("graph.cycles")
-def cycles(edge: DataFrame) -> DataFrame:
+@operator("graph.short_cycles")
+def short_cycles(edge: DataFrame) -> DataFrame:
     """Mutual pairs and directed triangles, each once from its smallest name.
 
     A triangle is found at its corner of lowest degree, so a hub is never the

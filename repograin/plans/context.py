@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from repograin.functions.scores import r6
-from repograin.operators import fusion, graph, grounding
+from repograin.operators import cycles, fusion, graph, grounding, imports
 from repograin.plans import domains as domains_plan  # noqa: F401
 from repograin.plans.base import case_any, case_map, cte, frame, has_any, q, query, rnd, values
+from repograin.rules import code as K
 from repograin.rules import context as X
 from repograin.session import cut_lineage
 
@@ -15,9 +16,14 @@ def _(c):
     return cut_lineage(graph.mentions(c.segments))
 
 
+@frame("resolved")
+def _(c):
+    return cut_lineage(imports.resolve(c.files, imports.specs(c.files)))
+
+
 @frame("edges")
 def _(c):
-    return graph.edges(c.mentions)
+    return cut_lineage(graph.edges(c.mentions, c.resolved, c.segments))
 
 
 @frame("functional")
@@ -94,37 +100,90 @@ def _(c):
 _MOD = "lower(regexp_replace(string_split(path, '/')[-1], '^(.+)[.][^.]*$', '\\1'))"
 cte("seg_mod", f"SELECT *, {_MOD} AS module FROM segments")
 cte("mentions", "SELECT s.repo, s.segment_id, s.module, n.module AS target FROM seg_mod AS s JOIN (SELECT DISTINCT repo, module FROM seg_mod WHERE module <> '') AS n ON n.repo = s.repo AND n.module <> s.module AND contains(s.low, n.module)")
-cte("edges", "SELECT repo, module AS src, target AS dst, count(*) AS mentions FROM mentions GROUP BY ALL")
+_FOUND = f"""CASE language WHEN 'typescript' THEN regexp_extract_all(content, {q(K.TS_IMPORT)}, 1) WHEN 'python' THEN list_transform(list_zip(regexp_extract_all(content, {q(K.PY_IMPORT)}, 1), regexp_extract_all(content, {q(K.PY_IMPORT)}, 2)),
+    lambda p: CASE WHEN p[1] <> '' THEN p[1] ELSE p[2] END) ELSE regexp_extract_all(content, {q(K.JAVA_IMPORT)}, 1) END"""
+_NO_EXT = lambda x: f"regexp_replace({x}, '[.](py|js|jsx|ts|tsx|java)$', '')"
+_DOTTED = "list_filter(string_split(ltrim(spec, '.'), '.'), lambda p: p <> '')"
+cte(  # steps of a relative import: a number of folders up, and names that hold no further dots
+    "import_specs",
+    f"""SELECT repo, path, spec, relative, CASE WHEN relative THEN list_concat(dir[1:greatest(len(dir) - up, 0)], names) ELSE names END AS parts FROM (
+        SELECT *, string_split(path, '/')[1:-2] AS dir, CASE WHEN NOT relative THEN 0 WHEN language = 'typescript' THEN len(list_filter(string_split(spec, '/'), lambda p: p = '..')) ELSE length(spec) - length(ltrim(spec, '.')) - 1 END AS up,
+          CASE WHEN language = 'typescript' THEN list_filter(string_split({_NO_EXT("spec")}, '/'), lambda p: p NOT IN ('', '.', '..')) ELSE {_DOTTED} END AS names
+        FROM (SELECT repo, path, language, spec, starts_with(spec, '.') AS relative FROM (SELECT DISTINCT repo, path, language, unnest({_FOUND}) AS spec FROM seg_files)))
+        WHERE len(parts) > 0""",
+)
+cte(
+    "path_parts",
+    f"""SELECT repo, path, CASE WHEN len(p) > 1 AND p[-1] IN ('index', '__init__') THEN p[1:-2] ELSE p END AS parts FROM (SELECT repo, path, string_split({_NO_EXT("path")}, '/') AS p FROM seg_files)""",
+)
+cte(
+    "resolved",
+    """SELECT i.repo, i.path, i.spec, arg_max(f.path, {'n': coalesce(x.n, 0), 'd': -len(f.parts)}) AS target, nullif(max(x.n), 0) / CAST(max(len(i.parts)) AS DOUBLE) AS strength FROM import_specs AS i
+       LEFT JOIN path_parts AS f ON f.repo = i.repo AND f.parts[-1] = i.parts[-1] AND (NOT i.relative OR f.parts = i.parts)
+         AND 2 * list_max(list_transform(range(1, least(len(f.parts), len(i.parts)) + 1), lambda k: CASE WHEN f.parts[-k:] = i.parts[-k:] THEN k ELSE 0 END)) >= len(i.parts)
+       LEFT JOIN LATERAL (SELECT list_max(list_transform(range(1, least(len(f.parts), len(i.parts)) + 1), lambda k: CASE WHEN f.parts[-k:] = i.parts[-k:] THEN k ELSE 0 END)) AS n) AS x ON TRUE
+       GROUP BY i.repo, i.path, i.spec""",
+)
+_STEM = lambda x: f"lower(regexp_replace(string_split({x}, '/')[-1], '^(.+)[.][^.]*$', '\\1'))"
+cte(
+    "edges",
+    f"""SELECT repo, src, dst, 'import' AS ref_type, {rnd("max(strength)")} AS strength, count(*) AS refs FROM (SELECT repo, {_STEM("path")} AS src, {_STEM("target")} AS dst, path = target AS own, strength FROM resolved WHERE target IS NOT NULL)
+        WHERE src <> dst OR own GROUP BY repo, src, dst
+        UNION ALL SELECT repo, module, target, 'mention', {rnd("count(*) / CAST(any_value(n) AS DOUBLE)")}, count(*) FROM mentions JOIN (SELECT repo, module, count(*) AS n FROM seg_mod GROUP BY ALL) USING (repo, module) GROUP BY repo, module, target""",
+)
 cte("functional", "SELECT DISTINCT repo, src, dst FROM (SELECT repo, lower(name) AS src, lower(string_split_regex(i, '[/.]')[-1]) AS dst FROM (SELECT repo, name, unnest(imports) AS i FROM components)) WHERE dst <> ''")
 
 
-@query("h1_edge_inference", "SELECT repo, src, dst, mentions FROM edges")
+@query("h1_edge_inference", "SELECT repo, src, dst, ref_type, strength, refs FROM edges")
 def _(c):
     return c.edges
 
 
+@query("h1_resolved_imports", f"SELECT repo, path, spec, target, {rnd('strength')} AS strength FROM resolved")
+def _(c):
+    return c.resolved
+
+
 @query("h2_related_modules", "SELECT repo, src AS module, dst AS related FROM edges UNION SELECT repo, dst, src FROM edges")
 def _(c):
     return graph.related(c.edges)
 
 
-@query("h3_missing_references", "SELECT repo, src, dst FROM functional AS f WHERE NOT EXISTS (SELECT 1 FROM components AS k WHERE k.repo = f.repo AND lower(k.name) = f.dst)")
+@query("h3_missing_references", f"SELECT DISTINCT repo, {_STEM('path')} AS src, spec FROM resolved WHERE target IS NULL")
 def _(c):
-    return graph.missing(c.functional, c.components)
+    return graph.missing(c.resolved)
+
+
+@query("h4_orphans", """SELECT repo, segment_id FROM segments AS s WHERE NOT EXISTS (SELECT 1 FROM mentions AS m WHERE m.repo = s.repo AND m.segment_id = s.segment_id)
+    AND NOT EXISTS (SELECT 1 FROM resolved AS r WHERE r.repo = s.repo AND r.path = s.path AND r.target IS NOT NULL)""")
+def _(c):
+    return graph.orphans(c.contexts, c.mentions, c.resolved)
+
+
+cte("module_links", "SELECT DISTINCT repo, src, dst FROM edges")
+cte("reach", "SELECT repo, src, dst FROM module_links UNION SELECT r.repo, r.src, l.dst FROM reach AS r JOIN module_links AS l ON l.repo = r.repo AND l.src = r.dst")
+cte("in_cycles", "SELECT a.repo, a.src AS node, min(a.dst) AS component FROM reach AS a JOIN reach AS b ON b.repo = a.repo AND b.src = a.dst AND b.dst = a.src GROUP BY a.repo, a.src")
+cte("rings", "SELECT repo, component, count(*) AS modules FROM in_cycles GROUP BY ALL HAVING count(*) > 1")
+cte("ring_links", "SELECT l.repo, a.component, l.src, l.dst FROM module_links AS l JOIN in_cycles AS a ON a.repo = l.repo AND a.node = l.src JOIN in_cycles AS b ON b.repo = l.repo AND b.node = l.dst AND b.component = a.component WHERE l.src <> l.dst")
+cte("ring_ways", "SELECT repo, component, component AS node, 0 AS level FROM rings UNION SELECT w.repo, w.component, l.dst, w.level + 1 FROM ring_ways AS w JOIN ring_links AS l ON l.repo = w.repo AND l.component = w.component AND l.src = w.node JOIN rings AS r ON r.repo = w.repo AND r.component = w.component WHERE w.level + 1 < r.modules")
+cte("ring_levels", "SELECT repo, component, node, min(level) AS level FROM ring_ways GROUP BY ALL")
+cte("ring_ends", "SELECT v.repo, v.component, min({'level': v.level, 'node': v.node}) AS last FROM ring_levels AS v JOIN ring_links AS l ON l.repo = v.repo AND l.component = v.component AND l.src = v.node AND l.dst = v.component GROUP BY ALL")
+cte("ring_parents", "SELECT v.repo, v.component, v.node, v.level, min(p.node) AS parent FROM ring_levels AS v JOIN ring_links AS l ON l.repo = v.repo AND l.component = v.component AND l.dst = v.node JOIN ring_levels AS p ON p.repo = v.repo AND p.component = v.component AND p.node = l.src AND p.level = v.level - 1 GROUP BY ALL")
+cte("ring_walks", "SELECT repo, component, last.node AS node, last.level AS level, last.level + 1 AS length, last.node AS cycle FROM ring_ends UNION ALL SELECT w.repo, w.component, p.parent, p.level - 1, w.length, concat(p.parent, '>', w.cycle) FROM ring_walks AS w JOIN ring_parents AS p ON p.repo = w.repo AND p.component = w.component AND p.node = w.node")
 
 
-@query("h4_orphans", "SELECT repo, segment_id FROM segments AS s WHERE NOT EXISTS (SELECT 1 FROM mentions AS m WHERE m.repo = s.repo AND m.segment_id = s.segment_id)")
+@query("h5_cycles", "SELECT repo, component, modules, length, cycle FROM ring_walks JOIN rings USING (repo, component) WHERE level = 0 UNION ALL SELECT repo, src, 1, 1, src FROM module_links WHERE src = dst")
 def _(c):
-    return graph.orphans(c.contexts, c.mentions)
+    return cycles.witnesses(c.edges.select("repo", "src", "dst").distinct(), ["repo"])
 
 
 @query(
-    "h5_cycles",
-    """SELECT a.repo, 2 AS length, concat_ws('>', a.src, a.dst) AS cycle FROM edges AS a JOIN edges AS b ON b.repo = a.repo AND b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst
-       UNION ALL SELECT a.repo, 3, concat_ws('>', a.src, a.dst, b.dst) FROM edges AS a JOIN edges AS b ON b.repo = a.repo AND b.src = a.dst JOIN edges AS d ON d.repo = a.repo AND d.src = b.dst AND d.dst = a.src WHERE a.src < a.dst AND a.src < b.dst""",
+    "h5_short_cycles",
+    """SELECT a.repo, 2 AS length, concat_ws('>', a.src, a.dst) AS cycle FROM module_links AS a JOIN module_links AS b ON b.repo = a.repo AND b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst
+       UNION ALL SELECT a.repo, 3, concat_ws('>', a.src, a.dst, b.dst) FROM module_links AS a JOIN module_links AS b ON b.repo = a.repo AND b.src = a.dst JOIN module_links AS d ON d.repo = a.repo AND d.src = b.dst AND d.dst = a.src WHERE a.src < a.dst AND a.src < b.dst""",
 )
 def _(c):
-    return graph.cycles(c.edges)
+    return graph.short_cycles(c.edges.select("repo", "src", "dst").distinct())
 
 
 @query(

@@ -66,7 +66,7 @@ def test_cycles_match_brute_force(spark):
     df = spark.createDataFrame([("r", a, b) for a, b in edges], "repo string, src string, dst string")
     want = {">".join((a, b)) for a, b in edges if a < b and (b, a) in edges}
     want |= {">".join((a, b, c)) for a, b, c in itertools.permutations(names, 3) if a < b and a < c and (a, b) in edges and (b, c) in edges and (c, a) in edges}
-    got = [r["cycle"] for r in graph.cycles(df).collect()]
+    got = [r["cycle"] for r in graph.short_cycles(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
