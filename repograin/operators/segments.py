@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from repograin.functions.facets import facet_counts
 from repograin.functions.text import contains_any, let, lines, lookup, rx
@@ -31,36 +33,52 @@ def _declaration(line: Column, language: Column) -> Column:
     return out
 
 
+@F.pandas_udf(ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType())))
+def _spans(headers: pd.Series, indents: pd.Series, decorators: pd.Series, size: pd.Series) -> pd.Series:
+    """First and last line of each declaration, by one pass with a stack of those still open; only line numbers come here."""
+
+    def of_file(lines, depths, marked, last):
+        marked, starts, ends, open_ = set(marked), [], [last] * len(lines), []
+        for i, (line, depth) in enumerate(zip(lines, depths)):
+            start = line
+            while start - 1 in marked:
+                start -= 1
+            starts.append(start)
+            while open_ and depths[open_[-1]] >= depth:
+                ends[open_.pop()] = line - 1
+            open_.append(i)
+        return [{"start": a, "end": b} for a, b in zip(starts, ends)]
+
+    return pd.Series([of_file(h.tolist(), i.tolist(), d.tolist(), n) for h, i, d, n in zip(headers, indents, decorators, size)])
+
+
 @operator("segments.extract")
 def extract(files: DataFrame) -> DataFrame:
     """Segments per source file, nested ones included.
 
     A segment starts at its decorators and ends before the next declaration
-    that is not indented deeper. Everything happens inside the file's row, so
-    there is no shuffle; files are capped in size by the scan.
+    that is not indented deeper. The file stays in its row: line numbers and
+    indents of its declarations are folded once by a stack (in time linear in
+    the lines, whatever the file's size), and each text is cut out by its span.
     """
-    source = segment_files(files).withColumn("lns", lines(F.col("content")))
-
-    def build(ls: Column) -> Column:
-        marked = F.transform(ls, lambda l, i: F.struct((i + 1).alias("line_no"), _declaration(l, F.col("language")).alias("d"), F.ltrim(l).startswith("@").alias("at")))
-        return let(marked, lambda ms: of_marked(ls, ms))
-
-    def of_marked(ls: Column, ms: Column) -> Column:
-        plain = F.transform(F.filter(ms, lambda m: ~m["at"]), lambda m: m["line_no"])
-        decls = F.filter(ms, lambda m: m["d"].isNotNull())
-        return let(F.struct(plain.alias("plain"), decls.alias("decls")), lambda s: F.transform(s["decls"], lambda d: segment(ls, s, d)))
-
-    def segment(ls: Column, s: Column, d: Column) -> Column:
-        before = F.array_max(F.filter(s["plain"], lambda n: n < d["line_no"]))
-        start = F.coalesce(before, F.lit(0)) + 1
-        later = F.filter(s["decls"], lambda x: (x["line_no"] > d["line_no"]) & (x["d"]["indent"] <= d["d"]["indent"]))
-        end = F.coalesce(F.array_min(F.transform(later, lambda x: x["line_no"])) - 1, F.size(ls))
+
+    def scanned(ls: Column) -> Column:
+        numbered = F.transform(ls, lambda l, i: F.struct((i + 1).alias("line_no"), _declaration(l, F.col("language")).alias("d"), l.alias("header")))
+        marked = F.filter(F.transform(ls, lambda l, i: F.when(F.ltrim(l).startswith("@"), i + 1)), lambda n: n.isNotNull())
+        return F.struct(ls.alias("lns"), F.filter(numbered, lambda m: m["d"].isNotNull()).alias("decls"), marked.alias("marked"))
+
+    # exploding one element keeps the optimiser from scanning the lines again for each use
+    source = segment_files(files).select("repo", "path", "language", F.explode(F.array(let(lines(F.col("content")), scanned))).alias("f")).select("repo", "path", "language", "f.*").where(F.size("decls") > 0)
+    spans = _spans(F.transform("decls", lambda m: m["line_no"]), F.transform("decls", lambda m: m["d"]["indent"]), "marked", F.size("lns"))
+
+    def segment(m: Column, span: Column) -> Column:
+        text = F.array_join(F.slice(F.col("lns"), span["start"], span["end"] - span["start"] + 1), "\n")
         return F.struct(
-            d["d"]["kind"].alias("kind"), d["d"]["name"].alias("name"), start.alias("start_line"), d["line_no"].alias("header_line"), end.alias("end_line"),
-            F.element_at(ls, d["line_no"]).alias("header"), F.array_join(F.slice(ls, start, end - start + 1), "\n").alias("content"),
+            m["d"]["kind"].alias("kind"), m["d"]["name"].alias("name"), span["start"].alias("start_line"), m["line_no"].alias("header_line"), span["end"].alias("end_line"),
+            m["header"].alias("header"), text.alias("content"),
         )
 
-    out = source.select("repo", "path", "language", F.explode(let(F.col("lns"), build)).alias("s")).select("repo", "path", "language", "s.*")
+    out = source.withColumn("spans", spans).select("repo", "path", "language", F.explode(F.zip_with("decls", "spans", segment)).alias("s")).select("repo", "path", "language", "s.*")
     model = None
     for lang, ws in K.MODEL_WORDS.items():
         test = (F.col("language") == lang) & contains_any(F.col("content"), ws)
