@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from repograin.functions.needles import folded, quick_match
 from repograin.functions.scores import r6
@@ -21,36 +20,38 @@ def number_lines(files: DataFrame) -> DataFrame:
 
 @operator("documents.sections")
 def sections(docs: DataFrame) -> DataFrame:
-    """Recognised sections with their bodies.
+    """Recognised sections with their bodies, numbered by file.
 
-    A running count of headers numbers the sections of a file; a body ends
-    with the first unrecognised header line, which it still includes. Windows
-    cover one file each, and files are capped in size.
+    A body ends before the next recognised header, or with the first other
+    header line, which it still includes. Everything happens in the file's row,
+    in time linear in its lines: header lines know the next one by its place,
+    and only section rows leave, so no line is shuffled and a file may have any
+    size.
     """
-    head = None
-    for name, pattern in D.SECTIONS:
-        test = F.col("line").rlike(pattern)
-        head = F.when(test, name) if head is None else head.when(test, name)
-    w = Window.partitionBy("repo", "path").orderBy("line_no")
-    numbered = (
-        number_lines(docs)
-        .withColumn("section", head)
-        .withColumn("ord", F.count("section").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(F.col("ord") > 0)
-    )
-    stop = F.when(F.col("section").isNull() & F.col("line").startswith("#"), F.col("line_no"))
-    in_section = Window.partitionBy("repo", "path", "ord")
-    body = (
-        numbered.withColumn("name", F.max("section").over(in_section))
-        .withColumn("stop", F.min(stop).over(in_section))
-        .where(F.col("section").isNull() & (F.col("stop").isNull() | (F.col("line_no") <= F.col("stop"))))
-    )
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return (
-        body.groupBy("repo", "path", "ord", F.col("name").alias("section"))
-        .agg(F.regexp_replace(joined, r"^\s+|\s+\z", "").alias("body"))
-        .where(F.col("body") != "")
-    )
+
+    def heading(line: Column) -> Column:
+        head = None
+        for name, pattern in D.SECTIONS:
+            test = line.rlike(pattern)
+            head = F.when(test, name) if head is None else head.when(test, name)
+        return head
+
+    def of_lines(ls: Column) -> Column:
+        seen = F.transform(ls, lambda l, i: F.struct((i + 1).alias("line_no"), heading(l).alias("section"), l.startswith("#").alias("sharp")))
+        return let(F.filter(seen, lambda s: s["section"].isNotNull() | s["sharp"]), lambda hs: cut(ls, hs))
+
+    def cut(ls: Column, hs: Column) -> Column:
+        spans = F.transform(hs, lambda h, i: F.struct(h["section"].alias("section"), h["line_no"].alias("line_no"), F.get(hs, i + 1).alias("next")))
+
+        def body(s: Column, i: Column) -> Column:
+            end = F.when(s["next"].isNull(), F.size(ls)).when(s["next"]["section"].isNotNull(), s["next"]["line_no"] - 1).otherwise(s["next"]["line_no"])
+            text = F.array_join(F.slice(ls, s["line_no"] + 1, end - s["line_no"]), "\n")
+            return F.struct((i + 1).cast("long").alias("ord"), s["section"].alias("section"), F.regexp_replace(text, r"^\s+|\s+\z", "").alias("body"))
+
+        return F.transform(F.filter(spans, lambda s: s["section"].isNotNull()), body)
+
+    found = docs.select("repo", "path", F.explode(let(lines(F.col("content")), of_lines)).alias("s")).select("repo", "path", "s.*")
+    return found.where(F.col("body") != "")
 
 
 @operator("documents.routing")

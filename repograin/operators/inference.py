@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from repograin.functions.containment import containing
 from repograin.functions.needles import folded, quick_match
+from repograin.functions.offsets import located, match_lengths, words_at
 from repograin.functions.scores import r6
 from repograin.functions.text import contains_any, file_name, let, rx
 from repograin.registry import operator
 from repograin.rules import reality as R
 
+NEAR = 200  # characters on both sides of an operation
+BIN = 512
+
 
 def _visible(path: Column) -> Column:
     dirs = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
@@ -51,28 +55,21 @@ def entities(files: DataFrame) -> DataFrame:
     )
 
 
-@operator("inference.operation_windows")
-def operation_windows(files: DataFrame) -> DataFrame:
-    """First match of every operation pattern per file, with 200 characters on both sides."""
+@operator("inference.operation_matches")
+def operation_matches(files: DataFrame) -> DataFrame:
+    """Every match of every operation pattern: ``repo, path, operation, pattern_no, seq, start, size``; texts stay in the scan."""
     content = F.col("content")
 
-    def first_hits(low: Column) -> Column:
+    def measured(low: Column) -> Column:
         hits = [
-            F.when(
-                quick_match(content, low, p),
-                F.struct(F.lit(op).alias("operation"), F.lit(i).alias("pattern_no"), F.regexp_extract(content, rx(p), 0).alias("text")),
-            )
+            F.when(quick_match(content, low, p), F.struct(F.lit(op).alias("operation"), F.lit(i).alias("pattern_no"), match_lengths(content, rx(p)).alias("lengths")))
             for op, patterns in R.CRUD
             for i, p in enumerate(patterns)
         ]
         return F.array_compact(F.array(*hits))
 
-    at = F.instr("content", F.col("h.text"))
-    start = F.greatest(at - 200, F.lit(1))
-    window = F.lower(F.substring("content", start, at - start + F.length("h.text") + 200))
-    return source_files(files).select("repo", "path", "content", F.explode(let(folded(content), first_hits)).alias("h")).select(
-        "repo", "path", "h.operation", "h.pattern_no", F.trim("h.text").alias("text"), window.alias("window")
-    )
+    hits = source_files(files).select("repo", "path", F.explode(let(folded(content), measured)).alias("h"))
+    return located(hits.select("repo", "path", "h.*"), "lengths")
 
 
 def layer(path: Column) -> Column:
@@ -82,13 +79,38 @@ def layer(path: Column) -> Column:
     return out
 
 
+@operator("inference.occurrences")
+def occurrences(files: DataFrame, names: DataFrame) -> DataFrame:
+    """``repo, path, name, first, last``: where the names (lower case, of word characters) stand in the source files.
+
+    Words meet the names as a vocabulary, each distinct word of a repository
+    once; a name lies inside one word.
+    """
+    words = words_at(source_files(files), F.lower("content"), ["repo", "path"])
+    vocabulary = words.select("repo", F.col("word").alias("id"), F.col("word").alias("text")).distinct()
+    holders = containing(vocabulary, names, "repo").select("repo", F.col("id").alias("word"), "name")
+    inside = F.filter(F.sequence(F.lit(1), F.length("word") - F.length("name") + 1), lambda i: F.substring(F.col("word"), i, F.length("name")) == F.col("name"))
+    placed = holders.select("repo", "word", "name", F.explode(inside).alias("at"))
+    first = F.col("start") + F.col("at") - 1
+    return words.join(placed, ["repo", "word"]).select("repo", "path", "name", first.alias("first"), (first + F.length("name") - 1).alias("last"))
+
+
 @operator("inference.crud_hits")
-def crud_hits(ents: DataFrame, windows: DataFrame) -> DataFrame:
-    """Windows that hold an entity's name: (repo, name, operation, hits, layers)."""
+def crud_hits(ents: DataFrame, files: DataFrame) -> DataFrame:
+    """Matches with an entity's name within ``NEAR`` characters: (repo, name, operation, hits, layers).
+
+    An interval join: each match opens an interval that covers two or three
+    bins, each occurrence of a name falls into one, and both meet by file and
+    bin, so a file with very many matches spreads over tasks.
+    """
     names = ents.select("repo", F.lower("name").alias("name")).distinct()
-    keyed = windows.withColumn("id", F.concat_ws(":", "path", "operation", "pattern_no"))
-    pairs = containing(keyed.select("repo", "id", F.col("window").alias("text")), names, "repo")
-    found = pairs.join(keyed.select("repo", "id", "path", "operation"), ["repo", "id"])
+    bin_of = lambda place: F.floor(place / BIN)
+    low, high = F.greatest(F.col("start") - NEAR, F.lit(1)), F.col("start") + F.col("size") + NEAR - 1
+    matches = operation_matches(files).select("repo", "path", "operation", "pattern_no", "seq", low.alias("low"), high.alias("high"))
+    opened = matches.withColumn("bin", F.explode(F.sequence(bin_of(F.col("low")), bin_of(F.col("high")))))
+    standing = occurrences(files, names).withColumn("bin", bin_of(F.col("first")))
+    met = opened.join(standing, ["repo", "path", "bin"]).where("first >= low AND last <= high")
+    found = met.select("repo", "name", "operation", "path", "pattern_no", "seq").distinct()
     return found.groupBy("repo", "name", "operation").agg(
         F.count("*").alias("hits"), F.array_sort(F.collect_set(layer(F.col("path")))).alias("layers")
     ).withColumn("confidence", F.least(F.col("hits") * 20, F.lit(100)) / 100.0)

@@ -361,11 +361,14 @@ cte(
     ),
 )
 _CRUD_FLAT = [(op, i, p) for op, ps in R.CRUD for i, p in enumerate(ps)]
-cte(
+cte(  # a match starts after the texts before it and the matches before it
     "op_windows",
-    f"""SELECT repo, path, operation, pattern_no, trim(text) AS text, lower(substr(content, greatest(pos - 200, 1), pos - greatest(pos - 200, 1) + length(text) + 200)) AS win FROM
-        (SELECT *, strpos(content, text) AS pos FROM (SELECT repo, path, content, {by_position("k", [q(o) for o, _, _ in _CRUD_FLAT])} AS operation, {by_position("k", [str(i) for _, i, _ in _CRUD_FLAT])} AS pattern_no,
-         {by_position("k", [f"regexp_extract(content, {q(p)})" for _, _, p in _CRUD_FLAT])} AS text FROM (SELECT repo, path, content, unnest({regex_hits("content", [p for _, _, p in _CRUD_FLAT])}) AS k FROM (SELECT repo, path, {fold("content")} AS content FROM crud_files))))""",
+    f"""SELECT repo, path, operation, pattern_no, lower(substr(content, greatest(pos - 200, 1), pos - greatest(pos - 200, 1) + length(text) + 200)) AS win FROM
+        (SELECT repo, path, content, operation, pattern_no, found[n] AS text, CAST(1 + list_sum(list_transform(parts[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:n - 1], lambda x: length(x))), 0) AS BIGINT) AS pos FROM
+         (SELECT *, unnest(range(1, len(found) + 1)) AS n FROM
+          (SELECT repo, path, content, {by_position("k", [q(o) for o, _, _ in _CRUD_FLAT])} AS operation, {by_position("k", [str(i) for _, i, _ in _CRUD_FLAT])} AS pattern_no,
+           {by_position("k", [f"regexp_extract_all(content, {q(p)})" for _, _, p in _CRUD_FLAT])} AS found, {by_position("k", [f"string_split_regex(content, {q(p)})" for _, _, p in _CRUD_FLAT])} AS parts
+           FROM (SELECT repo, path, content, unnest({regex_hits("content", [p for _, _, p in _CRUD_FLAT])}) AS k FROM (SELECT repo, path, {fold("content")} AS content FROM crud_files)))))""",
 )
 _LAYER = "CASE " + " ".join(f"WHEN {has_any('w.path', ws)} THEN '{n}'" for n, ws in R.LAYERS) + " END"
 cte(
@@ -380,6 +383,11 @@ def _(c):
     return inference.entities(c.files)
 
 
+@frame("crud_hits")
+def _(c):
+    return cut_lineage(inference.crud_hits(c.entities, c.files))
+
+
 @query("i2_entity_discovery", "SELECT repo, path, pattern_no, seq, name FROM entities")
 def _(c):
     return c.entities.select("repo", "path", "pattern_no", "seq", "name")
@@ -395,7 +403,7 @@ def _(c):
 
 @query("i4_crud_proximity", "SELECT repo, name, operation, hits, least(hits * 20, 100) / 100e0 AS confidence, array_to_string(coalesce(layers, []), ',') AS layers FROM crud_hits")
 def _(c):
-    return inference.crud_hits(c.entities, inference.operation_windows(c.files)).withColumn("layers", F.array_join("layers", ","))
+    return c.crud_hits.withColumn("layers", F.array_join("layers", ","))
 
 
 @query(
@@ -406,8 +414,7 @@ def _(c):
         LEFT JOIN (SELECT repo, name, list(operation) AS ops FROM crud_hits GROUP BY ALL) AS h ON h.repo = e.repo AND h.name = lower(e.name))""",
 )
 def _(c):
-    hits = inference.crud_hits(c.entities, inference.operation_windows(c.files))
-    return inference.crud_completeness(c.entities, hits).select(
+    return inference.crud_completeness(c.entities, c.crud_hits).select(
         "repo", "path", "pattern_no", "seq", "name", F.array_join("implemented", ",").alias("implemented"), F.array_join("missing", ",").alias("missing"), "verdict"
     )
 
