@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repograin.functions import offsets
 from repograin.functions.containment import containing
 from repograin.functions.needles import folded, quick_match
-from repograin.functions.offsets import located, match_lengths, words_at
+from repograin.functions.offsets import match_lengths
 from repograin.functions.scores import r6
 from repograin.functions.text import contains_any, file_name, let, rx
 from repograin.registry import operator
@@ -55,9 +56,9 @@ def entities(files: DataFrame) -> DataFrame:
     )
 
 
-@operator("inference.operation_matches")
-def operation_matches(files: DataFrame) -> DataFrame:
-    """Every match of every operation pattern: ``repo, path, operation, pattern_no, seq, start, size``; texts stay in the scan."""
+@operator("inference.surroundings")
+def surroundings(files: DataFrame) -> DataFrame:
+    """Per source file with an operation: its matches by pattern and the words near them; texts stay in the scan."""
     content = F.col("content")
 
     def measured(low: Column) -> Column:
@@ -66,10 +67,17 @@ def operation_matches(files: DataFrame) -> DataFrame:
             for op, patterns in R.CRUD
             for i, p in enumerate(patterns)
         ]
-        return F.array_compact(F.array(*hits))
+        return F.filter(F.array_compact(F.array(*hits)), lambda h: F.size(h["lengths"]["sizes"]) > 0)
+
+    return offsets.surroundings(source_files(files), F.lower("content"), let(folded(content), measured), NEAR)
 
-    hits = source_files(files).select("repo", "path", F.explode(let(folded(content), measured)).alias("h"))
-    return located(hits.select("repo", "path", "h.*"), "lengths")
+
+@operator("inference.operation_matches")
+def operation_matches(around: DataFrame) -> DataFrame:
+    """Every match of every operation pattern: ``repo, path, operation, pattern_no, seq, start, size``."""
+    each = around.select("repo", "path", F.explode(F.arrays_zip("hits", "starts")).alias("h"))
+    placed = F.posexplode(F.arrays_zip(F.col("h.starts").alias("start"), F.col("h.hits.lengths.sizes").alias("size"))).alias("seq", "m")
+    return each.select("repo", "path", "h.hits.operation", "h.hits.pattern_no", placed).select("repo", "path", "operation", "pattern_no", "seq", "m.start", "m.size")
 
 
 def layer(path: Column) -> Column:
@@ -80,13 +88,13 @@ def layer(path: Column) -> Column:
 
 
 @operator("inference.occurrences")
-def occurrences(files: DataFrame, names: DataFrame) -> DataFrame:
-    """``repo, path, name, first, last``: where the names (lower case, of word characters) stand in the source files.
+def occurrences(around: DataFrame, names: DataFrame) -> DataFrame:
+    """``repo, path, name, first, last``: where the names (lower case, of word characters) stand near operations.
 
     Words meet the names as a vocabulary, each distinct word of a repository
     once; a name lies inside one word.
     """
-    words = words_at(source_files(files), F.lower("content"), ["repo", "path"])
+    words = around.select("repo", "path", F.explode("words").alias("w")).select("repo", "path", "w.word", "w.start")
     vocabulary = words.select("repo", F.col("word").alias("id"), F.col("word").alias("text")).distinct()
     holders = containing(vocabulary, names, "repo").select("repo", F.col("id").alias("word"), "name")
     inside = F.filter(F.sequence(F.lit(1), F.length("word") - F.length("name") + 1), lambda i: F.substring(F.col("word"), i, F.length("name")) == F.col("name"))
@@ -96,7 +104,7 @@ def occurrences(files: DataFrame, names: DataFrame) -> DataFrame:
 
 
 @operator("inference.crud_hits")
-def crud_hits(ents: DataFrame, files: DataFrame) -> DataFrame:
+def crud_hits(ents: DataFrame, around: DataFrame) -> DataFrame:
     """Matches with an entity's name within ``NEAR`` characters: (repo, name, operation, hits, layers).
 
     An interval join: each match opens an interval that covers two or three
@@ -106,9 +114,9 @@ def crud_hits(ents: DataFrame, files: DataFrame) -> DataFrame:
     names = ents.select("repo", F.lower("name").alias("name")).distinct()
     bin_of = lambda place: F.floor(place / BIN)
     low, high = F.greatest(F.col("start") - NEAR, F.lit(1)), F.col("start") + F.col("size") + NEAR - 1
-    matches = operation_matches(files).select("repo", "path", "operation", "pattern_no", "seq", low.alias("low"), high.alias("high"))
+    matches = operation_matches(around).select("repo", "path", "operation", "pattern_no", "seq", low.alias("low"), high.alias("high"))
     opened = matches.withColumn("bin", F.explode(F.sequence(bin_of(F.col("low")), bin_of(F.col("high")))))
-    standing = occurrences(files, names).withColumn("bin", bin_of(F.col("first")))
+    standing = occurrences(around, names).withColumn("bin", bin_of(F.col("first")))
     met = opened.join(standing, ["repo", "path", "bin"]).where("first >= low AND last <= high")
     found = met.select("repo", "name", "operation", "path", "pattern_no", "seq").distinct()
     return found.groupBy("repo", "name", "operation").agg(

@@ -385,7 +385,7 @@ def _(c):
 
 @frame("crud_hits")
 def _(c):
-    return cut_lineage(inference.crud_hits(c.entities, c.files))
+    return cut_lineage(inference.crud_hits(c.entities, cut_lineage(inference.surroundings(c.files))))
 
 
 @query("i2_entity_discovery", "SELECT repo, path, pattern_no, seq, name FROM entities")

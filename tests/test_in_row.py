@@ -43,7 +43,7 @@ def test_a_body_of_any_length(make_files):
 
 def hits(make_files, rows):
     files = make_files(rows)
-    return {(r["name"], r["operation"]): (r["hits"], r["layers"]) for r in inference.crud_hits(inference.entities(files), files).collect()}
+    return {(r["name"], r["operation"]): (r["hits"], r["layers"]) for r in inference.crud_hits(inference.entities(files), inference.surroundings(files)).collect()}
 
 
 def test_an_entity_beside_a_later_match_counts(make_files):
@@ -66,7 +66,7 @@ def test_many_matches_and_their_places(make_files):
 
     n = 10_000
     files = make_files([("r", "src/a.ts", "INSERT INTO invoice;\n" * n)])
-    rows = operation_matches(files)
+    rows = operation_matches(inference.surroundings(files))
     assert "content" not in rows.columns
     got = [(r["start"], r["size"]) for r in rows.where("pattern_no = 3").collect()]
     assert sorted(got) == [(21 * i + 1, 11) for i in range(n)]
