@@ -2,57 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from repograin.functions.automaton import Rule, hits, scores
 from repograin.functions.scores import r6
 from repograin.functions.text import contains_any, lookup
 from repograin.registry import operator
 from repograin.rules import domains as B
 
 
-def _hits(column: Column, words: list[str]) -> list[Column]:
-    return [F.bool_or(F.coalesce(column.contains(w), F.lit(False))) for w in words]
+TYPE_RULES = [
+    Rule("analysis_tool", ("name",), tuple(B.NAME_PATTERNS), 0.3),
+    Rule("analysis_tool", ("dependency",), tuple(B.ANALYSIS_DEPS), 0.25, share=True),
+    Rule("analysis_tool", ("dependency",), tuple(B.ANALYSIS_CLI), 0.1, share=True),
+    Rule("analysis_tool", ("readme",), tuple(B.ANALYSIS_README), 0.2, share=True),
+    Rule("web_application", ("dependency",), tuple(B.WEB_DEPS), 0.25, share=True),
+]
 
 
-def _count(flags: list[Column]) -> Column:
-    out = flags[0].cast("int")
-    for f in flags[1:]:
-        out = out + f.cast("int")
-    return out
+def manifest_deps(preferred: DataFrame, deps: DataFrame) -> DataFrame:
+    """Dependencies of each repository's chosen manifest, in lower case."""
+    return preferred.select("repo", "manifest").join(deps.select("repo", "manifest", F.lower("name").alias("dep"), "scope"), ["repo", "manifest"])
 
 
 @operator("classify.facts")
 def facts(repos: DataFrame, preferred: DataFrame, deps: DataFrame, files: DataFrame) -> DataFrame:
-    """Per repository: pattern counts over the chosen manifest's dependencies and the README."""
-    dep = F.lower("dep")
-    own = preferred.select("repo", "manifest").join(deps.select("repo", "manifest", F.col("name").alias("dep"), "scope"), ["repo", "manifest"])
+    """Per repository: its chosen manifest, what its dependencies show, and the README's first line."""
+    dep = F.col("dep")
     direct = F.when(~F.col("scope").isin("devDependencies", "dev-dependencies"), dep)
-    agg = own.groupBy("repo").agg(
-        _count(_hits(dep, B.ANALYSIS_DEPS)).alias("analysis_deps"), _count(_hits(dep, B.ANALYSIS_CLI)).alias("analysis_cli"), _count(_hits(dep, B.WEB_DEPS)).alias("web_deps"),
+    agg = manifest_deps(preferred, deps).groupBy("repo").agg(
         F.bool_or(F.coalesce(contains_any(direct, B.HEURISTIC_WEB), F.lit(False))).alias("is_web"), F.bool_or(contains_any(dep, B.HEURISTIC_CLI)).alias("is_cli"), F.count("*").alias("n_deps"),
     )
-    readme = files.where("path = 'README.md'").select("repo", F.col("content").alias("readme"))
-    low, name = F.lower("readme"), F.lower("name")
-    return (
-        preferred.join(agg, "repo", "left").join(readme, "repo", "left")
-        .withColumn("readme_hits", F.when(F.col("readme").isNull(), 0).otherwise(_count([F.coalesce(low.contains(w), F.lit(False)) for w in B.ANALYSIS_README])))
-        .withColumn("name_hit", contains_any(name, B.NAME_PATTERNS))
-        .fillna(0, ["analysis_deps", "analysis_cli", "web_deps", "n_deps"]).fillna(False, ["is_web", "is_cli"])
-    )
+    readme = files.where("path = 'README.md'").select("repo", F.regexp_extract("content", r"^([^\r\n]*)", 1).alias("readme"))
+    return preferred.join(agg, "repo", "left").join(readme, "repo", "left").fillna(0, ["n_deps"]).fillna(False, ["is_web", "is_cli"])
+
+
+@operator("classify.type_texts")
+def type_texts(preferred: DataFrame, deps: DataFrame, files: DataFrame) -> DataFrame:
+    """``repo, scope, text``: what type rules look at; READMEs are read where they are scanned."""
+    named = preferred.select("repo", F.lit("name").alias("scope"), F.lower("name").alias("text"))
+    needed = manifest_deps(preferred, deps).select("repo", F.lit("dependency").alias("scope"), F.col("dep").alias("text"))
+    readme = files.where("path = 'README.md'").select("repo", F.lit("readme").alias("scope"), F.lower("content").alias("text"))
+    return named.unionByName(needed).unionByName(readme)
 
 
 @operator("classify.weighted")
-def weighted(fact: DataFrame) -> DataFrame:
-    """(repo, project_type, score) of the types with a positive score."""
-    analysis = (
-        F.when(F.col("name_hit"), 0.3).otherwise(0.0) + F.col("analysis_deps") * 0.25 / len(B.ANALYSIS_DEPS)
-        + F.col("analysis_cli") * 0.1 / len(B.ANALYSIS_CLI) + F.col("readme_hits") * 0.2 / len(B.ANALYSIS_README)
-    )
-    web = F.col("web_deps") * 0.25 / len(B.WEB_DEPS)
-    both = F.array(F.struct(F.lit("analysis_tool").alias("project_type"), analysis.alias("score")), F.struct(F.lit("web_application").alias("project_type"), web.alias("score")))
-    return fact.select("repo", F.explode(both).alias("t")).select("repo", "t.project_type", r6(F.col("t.score")).alias("score")).where(F.col("score") > 0)
+def weighted(preferred: DataFrame, texts: DataFrame, rules: Sequence[Rule] = TYPE_RULES) -> DataFrame:
+    """(repo, project_type, score) of the types with a positive score, by rules that may be loaded at run time."""
+    found = hits(texts, rules, ["repo"]).join(preferred.select("repo"), "repo", "left_semi")
+    return scores(found, rules, ["repo"]).select("repo", F.col("subject").alias("project_type"), r6(F.col("score")).alias("score")).where(F.col("score") > 0)
 
 
 @operator("classify.heuristic")
@@ -66,9 +68,9 @@ def ranked(scores: DataFrame) -> DataFrame:
 
 
 @operator("classify.project_type")
-def project_type(fact: DataFrame) -> DataFrame:
+def project_type(fact: DataFrame, scored: DataFrame) -> DataFrame:
     """Weighted result if strong, else heuristic."""
-    best = weighted(fact).groupBy("repo").agg(F.min(F.struct((-F.col("score")).alias("neg"), "project_type")).alias("m"))
+    best = scored.groupBy("repo").agg(F.min(F.struct((-F.col("score")).alias("neg"), "project_type")).alias("m"))
     both = heuristic(fact).join(best, "repo", "left")
     strong = -F.col("m.neg") > 0.3
     return both.select(
@@ -78,9 +80,9 @@ def project_type(fact: DataFrame) -> DataFrame:
 
 
 @operator("classify.alternatives")
-def alternatives(fact: DataFrame) -> DataFrame:
+def alternatives(scored: DataFrame) -> DataFrame:
     """All types but the best, by rank."""
-    return ranked(weighted(fact)).where(F.col("rank") >= 2)
+    return ranked(scored).where(F.col("rank") >= 2)
 
 
 @operator("classify.entry_points")
@@ -111,7 +113,7 @@ def labels(column: Column) -> list[Column]:
 @operator("classify.profile")
 def profile(fact: DataFrame, types: DataFrame, entries: DataFrame, words: DataFrame) -> DataFrame:
     """Metadata, type, purpose sentence, domain hints and counts."""
-    first = F.trim(F.regexp_replace(F.regexp_extract("readme", r"^([^\r\n]*)", 1), "^#+", ""))
+    first = F.trim(F.regexp_replace("readme", "^#+", ""))
     n = entries.groupBy("repo").agg(F.count("*").alias("entry_points"))
     kw = words.groupBy("repo").agg(F.array_sort(F.collect_set(F.when(F.col("kind") == "domain", F.col("keyword")))).alias("domain_keywords"))
     hints = None

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from repograin.functions.automaton import Rule, hits
 from repograin.functions.scores import r6
 from repograin.functions.text import contains_any, file_stem, first_label, lookup
 from repograin.registry import operator
@@ -188,15 +191,17 @@ def items(components: DataFrame, deps: DataFrame) -> DataFrame:
     return e.unionByName(d).unionByName(f)
 
 
+CONFIG_RULES = [Rule(d, tuple(B.ITEM_KINDS[t]), tuple(x.lower() for x in ws), w) for d, (_, _, _, ps) in B.CONFIG.items() for t, ws, w in ps]
+
+
 @operator("domains.config_scores")
-def config_scores(rows: DataFrame) -> DataFrame:
-    """Per configured domain the number of items hit × weight; patterns are tested in the item's row."""
-    low = F.lower("item")
-    rules = [(d, ws, w, B.ITEM_KINDS[t]) for d, (_, _, _, ps) in B.CONFIG.items() for t, ws, w in ps]
-    hits = F.array_compact(F.array(*[
-        F.when(F.col("kind").isin(kinds) & contains_any(low, [x.lower() for x in ws]), F.struct(F.lit(d).alias("domain"), F.lit(w).alias("points"))) for d, ws, w, kinds in rules
-    ]))
-    return rows.select("repo", F.explode(hits).alias("h")).groupBy("repo", "h.domain").agg(F.sum("h.points").alias("points")).select("repo", "domain", "points")
+def config_scores(rows: DataFrame, rules: Sequence[Rule] = CONFIG_RULES) -> DataFrame:
+    """Per configured domain the number of items hit × weight; rules may be loaded at run time."""
+    numbered = rows.select("repo", F.col("kind").alias("scope"), F.lower("item").alias("text")).groupBy("repo", "scope", "text").agg(F.count("*").alias("items"))
+    found = hits(numbered, rules, ["repo", "scope", "text", "items"]).select("repo", "scope", "text", "items", "rule").distinct()
+    weights = [(n, r.subject, r.weight) for n, r in enumerate(rules)]
+    table = rows.sparkSession.createDataFrame(weights, "rule int, domain string, weight int" if all(isinstance(r.weight, int) for r in rules) else "rule int, domain string, weight double")
+    return found.join(table, "rule").groupBy("repo", "domain").agg(F.sum(F.col("items") * F.col("weight")).alias("points")).select("repo", "domain", "points")
 
 
 @operator("domains.best")

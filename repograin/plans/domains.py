@@ -17,7 +17,7 @@ def _(c):
 
 @frame("types")
 def _(c):
-    return classify.project_type(c.facts)
+    return classify.project_type(c.facts, c.type_scores)
 
 
 @frame("entries")
@@ -30,6 +30,11 @@ def _(c):
     return classify.keywords(c.files)
 
 
+@frame("type_scores")
+def _(c):
+    return cut_lineage(classify.weighted(c.preferred, classify.type_texts(c.preferred, c.deps, c.files)))
+
+
 @frame("profile")
 def _(c):
     return cut_lineage(classify.profile(c.facts, c.types, c.entries, c.keywords))
@@ -87,7 +92,7 @@ cte("types", f"SELECT f.repo, CASE WHEN t.score > 3e-1 THEN t.project_type ELSE
 
 @query("g1_weighted_type_scoring", "SELECT repo, project_type, score FROM type_scores")
 def _(c):
-    return classify.weighted(c.facts)
+    return c.type_scores
 
 
 @query("g2_heuristic_type", f"SELECT repo, {_HEUR} AS project_type, 5e-1 AS score FROM facts")
@@ -102,7 +107,7 @@ def _(c):
 
 @query("g4_alternatives", "SELECT repo, project_type, score, rank FROM type_ranked WHERE rank >= 2")
 def _(c):
-    return classify.alternatives(c.facts)
+    return classify.alternatives(c.type_scores)
 
 
 cte("entries", f"SELECT f.repo, f.path, t AS entry_type, c / 100e0 AS confidence FROM files AS f JOIN preferred AS p USING (repo) JOIN {values(B.ENTRY_POINTS, 'm, path, t, c', 'e')} ON e.path = f.path AND e.m = p.package_manager")
@@ -327,3 +332,31 @@ def _(c):
         F.struct(F.lit("name").alias("type"), words("p_name").alias("patterns")), F.struct(F.lit("type").alias("type"), words("p_type").alias("patterns"))).alias("patterns")))
     rules = rule_rows(c.table("part").select(doc.alias("value")))
     return rules.groupBy("id", "kind").agg(F.count("*").alias("patterns"), F.min("pattern").alias("first_pattern"))
+
+
+_RULE_TEXTS = [("name", "documents", "doc_id", "text"), ("type", "pages", "page_id", "html")]
+
+
+@query(
+    "s13_rules_in_use",
+    " UNION ALL ".join(
+        f"""SELECT subject, '{kind}' AS scope, count(*) AS texts FROM (SELECT DISTINCT subject, {key} FROM (SELECT DISTINCT p_brand AS subject, unnest(string_split(lower(p_{kind}), ' ')) AS w FROM part)
+        JOIN {table} ON contains(lower({text}), w)) GROUP BY subject"""
+        for kind, table, key, text in _RULE_TEXTS
+    ),
+)
+def _(c):
+    """How many texts does each loaded rule set find, documents by its names and pages by its types?"""
+    from repograin.functions import automaton
+    from repograin.sources.configs import rule_rows
+
+    pack = lambda kind: F.struct(F.lit(kind).alias("type"), F.split(f"p_{kind}", " ").alias("patterns"))
+    rules = automaton.rules_of(rule_rows(c.table("part").select(F.to_json(F.struct(
+        F.col("p_brand").alias("id"), F.col("p_brand").alias("name"), F.array(pack("name"), pack("type")).alias("patterns"))).alias("value"))))
+    texts = None
+    for kind, table, key, text in _RULE_TEXTS:
+        rows = c.table(table).select(F.col(key).alias("id"), F.lit(kind).alias("scope"), F.lower(text).alias("text"))
+        texts = rows if texts is None else texts.unionByName(rows)
+    found = automaton.hits(texts, rules, ["id", "scope"]).select("id", "scope", "rule").distinct()
+    subjects = c.spark.createDataFrame([(n, r.subject) for n, r in enumerate(rules)], "rule int, subject string")
+    return found.join(subjects, "rule").groupBy("subject", "scope").agg(F.count("*").alias("texts"))
