@@ -1,4 +1,4 @@
-"""Running numbers that do not gather a key's rows in one task."""
+"""Running numbers and next values that do not gather a key's rows in one task."""
 
 from __future__ import annotations
 
@@ -9,6 +9,30 @@ from pyspark.sql import Window
 from repograin.session import cut_lineage
 
 
+def _ranged(df: DataFrame, keys: list[str], order: list[Column | str]) -> tuple[DataFrame, list[str]]:
+    """The rows range-partitioned by key and order, with ``_part``; the saved copy fixes the partition ids."""
+    ordered = df.select("*", *[(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)])
+    cols = [f"_o{i}" for i in range(len(order))]
+    return cut_lineage(ordered.repartitionByRange(*keys, *cols).withColumn("_part", F.spark_partition_id())), cols
+
+
+def next_value(df: DataFrame, keys: list[str], order: list[Column | str], value: str, name: str) -> DataFrame:
+    """``value`` of the key's next row by ``order`` (which must be unique), null for the last one.
+
+    As in :func:`running_number` a hot key spreads over the partitions of a
+    range; the last row of each looks up the first value of the key's next
+    partition, so only one row per key and partition crosses.
+    """
+    ranged, cols = _ranged(df, keys, order)
+    firsts = ranged.groupBy(*keys, "_part").agg(F.min(F.struct(*cols, F.col(value).alias("_v"))).alias("_f"))
+    along = Window.partitionBy(*keys).orderBy("_part")  # one row per partition
+    following = firsts.select(*keys, "_part", F.lead("_f").over(along).alias("_next"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*cols)
+    marked = ranged.withColumn("_lead", F.lead(F.struct(F.col(value).alias("_v"))).over(inside))
+    found = F.when(F.col("_lead").isNotNull(), F.col("_lead._v")).otherwise(F.col("_next._v"))
+    return marked.join(following, [*keys, "_part"]).withColumn(name, found).drop("_part", "_lead", "_next", *cols)
+
+
 def running_number(df: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
     """1-based position of each row inside its key, by ``order`` (which must be unique).
 
@@ -16,9 +40,7 @@ def running_number(df: DataFrame, keys: list[str], order: list[Column | str], na
     partitions; each partition numbers its own rows and adds the count of the
     key's rows in earlier partitions. The saved copy fixes the partition ids.
     """
-    ordered = df.select("*", *[(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)])
-    cols = [f"_o{i}" for i in range(len(order))]
-    ranged = cut_lineage(ordered.repartitionByRange(*keys, *cols).withColumn("_part", F.spark_partition_id()))
+    ranged, cols = _ranged(df, keys, order)
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))

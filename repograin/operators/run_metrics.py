@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from repograin.functions.ranking import next_value
 from repograin.functions.scores import r6
 from repograin.functions.text import lookup
 from repograin.registry import operator
@@ -30,10 +30,11 @@ def render(template: Column, variables: Column) -> Column:
 
 @operator("templates.lookup_default")
 def lookup_default(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Row of the key, else the row named ``default``."""
-    own = table.select(F.col("key").alias(key), F.col("value").alias("own"))
+    """Row of the key, else the row named ``default``; of several rows of a name the least value counts."""
+    least = table.groupBy("key").agg(F.min("value").alias("value"))
+    own = least.select(F.col("key").alias(key), F.col("value").alias("own"))
     # One row, so it may be broadcast; rows without a value of their own look it up by name.
-    default = table.where("key = 'default'").select(F.col("key").alias("_wanted"), F.col("value").alias("fallback")).limit(1)
+    default = least.where("key = 'default'").select(F.col("key").alias("_wanted"), F.col("value").alias("fallback")).limit(1)
     wanted = F.when(F.col("own").isNull(), "default")
     joined = rows.join(own, key, "left").withColumn("_wanted", wanted).join(F.broadcast(default), "_wanted", "left")
     return joined.select(*rows.columns, F.coalesce("own", "fallback").alias("value"))
@@ -41,20 +42,12 @@ def lookup_default(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 @operator("metrics.phase_gaps")
 def phase_gaps(events: DataFrame) -> DataFrame:
-    """(run, phase, started, seconds): time from each event to the phase's next one.
+    """(run, phase, started, seconds): time from each event to the phase's next one, of whatever day.
 
-    The next event is looked up inside one day; only the first event of each
-    day crosses days, so a run with very many events spreads over its days.
+    Events are range-partitioned, so one phase of one day may hold any number.
     """
-    day = F.date_trunc("day", "ts")
-    e = events.withColumn("day", day)
-    inside = Window.partitionBy("run", "phase", "day").orderBy("ts", "seq")
-    heads = e.groupBy("run", "phase", "day").agg(F.min("ts").alias("first"))
-    across = Window.partitionBy("run", "phase").orderBy("day")
-    nexts = heads.select("run", "phase", "day", F.lead("first").over(across).alias("next_day"))
-    gaps = e.withColumn("within", F.lead("ts").over(inside)).join(nexts, ["run", "phase", "day"])
-    ended = F.coalesce("within", "next_day")
-    return gaps.withColumn("ended", ended).where("ended IS NOT NULL").select(
+    gaps = next_value(events.select("run", "phase", "ts", "seq"), ["run", "phase"], ["ts", "seq"], "ts", "ended")
+    return gaps.where("ended IS NOT NULL").select(
         "run", "phase", "seq", F.col("ts").alias("started"), (F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("ended")) / 1000000.0).alias("seconds")
     )
 

@@ -555,6 +555,30 @@ def _(c):
     return history.stale(c.fingerprints, _fresh(c))
 
 
+_GONE, _LATE = "length % 5 = 0", "length % 3 = 0"  # files that are deleted, and that are first seen with their first half
+
+
+@query("a6_incremental_changes", f"SELECT repo, path, line_no, marker, description FROM todos JOIN (SELECT repo, path FROM files WHERE NOT ({_GONE})) USING (repo, path)")
+def _(c):
+    """Which markers hold after files were added, edited, deleted and delivered again, without a full run?"""
+    from repograin.operators import markers
+    from repograin.session import new_folder
+    from repograin.sources.corpus import marker_files
+    from repograin.streaming import incremental
+
+    files = marker_files(c.files).select("repo", "path", "ext", "lang", "length", F.col("modified").cast("bigint").alias("modified"), "content")
+    half = F.substring("content", F.lit(1), (F.length("content") / 2).cast("int"))
+    first = files.withColumn("content", F.when(F.expr(_LATE), half).otherwise(F.col("content"))).withColumn("deleted", F.lit(False))
+    edits = files.where(_LATE).withColumn("modified", F.col("modified") + 1).withColumn("deleted", F.lit(False))
+    gone = files.where(_GONE).withColumn("modified", F.col("modified") + 2).withColumn("content", F.lit(None).cast("string")).withColumn("deleted", F.lit(True))
+    inbox, target, offsets = (new_folder(c.spark, n) for n in ("inbox", "kept", "offsets"))
+    for batch in (first, edits, gone, first):  # the last is delivered a second time
+        batch.write.mode("append").parquet(inbox)
+        stream = incremental.stream_files(c.spark, inbox, schema=incremental.CHANGES_SCHEMA)
+        incremental.maintain(stream, markers.scan, target, offsets).awaitTermination()
+    return incremental.current(c.spark, target).select("repo", "path", "line_no", "marker", "description")
+
+
 # --- templates and run metrics on orders and events ----------------------------------------
 
 
