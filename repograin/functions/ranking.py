@@ -53,3 +53,20 @@ def running_number(df: DataFrame, keys: list[str], order: list[Column | str], na
         .withColumn(name, F.row_number().over(inside) + F.col("_offset"))
         .drop("_part", "_offset", *cols)
     )
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[Column | str], size: str, name: str) -> DataFrame:
+    """Sum of ``size`` over the key's rows before each row, by ``order`` (which must be unique); spread as in :func:`running_number`."""
+    ranged, cols = _ranged(df, keys, order)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranged.groupBy(*keys, "_part").agg(F.sum(size).alias("_n"))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .select(*keys, "_part", "_offset")
+    )
+    inside = Window.partitionBy(*keys, "_part").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        ranged.join(offsets, [*keys, "_part"])
+        .withColumn(name, F.coalesce(F.sum(size).over(inside), F.lit(0)) + F.col("_offset"))
+        .drop("_part", "_offset", *cols)
+    )

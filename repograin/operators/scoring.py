@@ -8,15 +8,19 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from repograin.functions.ranking import running_number
+from repograin.functions.ranking import running_total
 from repograin.functions.scores import r6
-from repograin.functions.text import first_label
+from repograin.functions.text import first_label, lookup
 from repograin.registry import operator
 
 # Window sizes, limits, keyword fallback, field defaults.
-WINDOW, SEGMENT_TOKENS, TEMPLATE_TOKENS, REPLY_TOKENS = 4096, 200, 500, 1000
-SMALL_LIMIT, LARGE_LIMIT, LARGE_COUNT = 20, 10, 100
+WINDOW, TEMPLATE_TOKENS, REPLY_TOKENS = 4096, 500, 1000
+BUDGET = WINDOW - TEMPLATE_TOKENS - REPLY_TOKENS  # tokens of a batch's items
+TOKEN_CHARS = 4
+ITEM_TOKENS = 8  # what an item's label takes
+PARTS = [("endpoint", "API endpoints"), ("dependency", "Dependencies"), ("file", "Files"), ("segment", "Segments")]
 DOMAIN_KEYWORDS = [
     ("Authentication", ["authentication"]),
     ("Authentication", ["auth"]),
@@ -43,22 +47,52 @@ PROJECT_SCHEMA = (
 )
 
 
-def batch_size(n: Column, window: int = WINDOW) -> Column:
-    fit = max(window - TEMPLATE_TOKENS - REPLY_TOKENS, 0) // SEGMENT_TOKENS
-    return F.greatest(F.least(F.lit(fit), F.when(n > LARGE_COUNT, LARGE_LIMIT).otherwise(SMALL_LIMIT)), F.lit(1))
+def part_chars(budget: int) -> int:
+    """Characters of an item's part: with its label it fills at most a quarter of a batch."""
+    return (budget // 4 - ITEM_TOKENS) * TOKEN_CHARS
 
 
 @operator("scoring.batches")
-def batches(items: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Add ``batch`` numbers; a key of any size is numbered across many tasks."""
-    numbered = running_number(items, [key], order, "n")
-    sizes = items.groupBy(key).agg(F.count("*").alias("total")).select(key, batch_size(F.col("total")).alias("size"))
-    return numbered.join(sizes, key).withColumn("batch", F.floor((F.col("n") - 1) / F.col("size"))).withColumn("slot", (F.col("n") - 1) % F.col("size"))
+def batches(items: DataFrame, key: str, order: list[str], budget: int = BUDGET) -> DataFrame:
+    """Add ``part, tokens, batch, slot``: items in their order, no batch over the token budget.
+
+    Longer texts are cut into parts, each a row of its own, so none is shortened.
+    A batch takes the parts that start within three quarters of the budget; the
+    last of them adds a quarter at most. Tokens are summed over ranges, so a key
+    of any size spreads over many tasks. ``order`` must be unique within a key.
+    """
+    chars = part_chars(budget)
+    text = F.coalesce("text", F.lit(""))
+    n = F.greatest(F.ceil(F.length(text) / chars), F.lit(1)).cast("int")
+    cut = items.withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("text", F.substring(text, F.col("part") * chars + 1, F.lit(chars)))
+    sized = cut.withColumn("tokens", F.ceil(F.length("text") / TOKEN_CHARS) + ITEM_TOKENS)
+    placed = running_total(sized, [key], [*order, "part"], "tokens", "before").withColumn("batch", F.floor(F.col("before") / (budget - budget // 4)))
+    in_batch = Window.partitionBy(key, "batch").orderBy("before")  # no more than the budget holds
+    return placed.withColumn("slot", F.row_number().over(in_batch).cast("long") - 1).drop("before")
+
+
+@operator("scoring.project_items")
+def project_items(items: DataFrame, segments: DataFrame) -> DataFrame:
+    """``repo, place, kind, text``: endpoints, dependencies, files and segments of a repository, each once, in prompt order."""
+    own = items.select("repo", "kind", F.col("item").alias("text")).unionByName(segments.select("repo", F.lit("segment").alias("kind"), F.concat_ws(" ", "segment_type", "name").alias("text")))
+    place = F.array_position(F.array(*[F.lit(k) for k, _ in PARTS]), F.col("kind"))
+    return own.where("text IS NOT NULL AND text <> ''").distinct().select("repo", place.cast("int").alias("place"), "kind", "text", F.col("text").alias("name"))
+
+
+@operator("scoring.project_prompts")
+def project_prompts(batched: DataFrame, template: str = TEMPLATE) -> DataFrame:
+    """One prompt per repository and batch, its items under their kinds' headings."""
+    heading = {k: h for k, h in PARTS}
+    rows = F.array_sort(F.collect_list(F.struct("slot", "kind", "text")))
+    line = F.transform(rows, lambda r, i: F.concat(
+        F.when((i > 0) & (F.get(rows, i - 1)["kind"] == r["kind"]), "").otherwise(F.concat(lookup(r["kind"], heading), F.lit(":\n"))), F.lit("- "), r["text"]))
+    return batched.groupBy("repo", "batch").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.array_join(line, "\n").alias("body")).select(
+        "repo", "batch", "items", "tokens", F.replace(F.lit(template), F.lit("{segments}"), F.col("body")).alias("prompt"))
 
 
 @operator("scoring.prompts")
 def prompts(batched: DataFrame, key: str, template: str = TEMPLATE) -> DataFrame:
-    """One prompt per batch; a batch holds at most twenty segments."""
+    """One prompt per batch, of the batch's parts in order."""
     parts = F.array_sort(F.collect_list(F.struct("slot", "text")))
     body = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("Segment "), (p["slot"] + 1).cast("string"), F.lit(": "), p["text"])), "\n")
     return batched.groupBy(key, "batch").agg(F.count("*").alias("segments"), body.alias("body")).select(

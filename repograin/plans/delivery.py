@@ -338,9 +338,6 @@ def _(c):
 
 # --- batch scoring on conversations ---------------------------------------------------
 
-_FIT = (scoring.WINDOW - scoring.TEMPLATE_TOKENS - scoring.REPLY_TOKENS) // scoring.SEGMENT_TOKENS
-
-
 @frame("batched")
 def _(c):
     return cut_lineage(scoring.batches(c.table("conversations"), "role", ["conv_id", "turn"]))
@@ -351,10 +348,16 @@ def _(c):
     return scoring.prompts(c.batched, "role")
 
 
-cte(
-    "batched",
-    f"""SELECT *, (n - 1) // size AS batch, (n - 1) % size AS slot FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS n, greatest(least({_FIT}, CASE WHEN count(*) OVER (PARTITION BY role) > 100 THEN 10 ELSE 20 END), 1) AS size FROM conversations)""",
-)
+def _batched_sql(rows: str, key: str, order: str) -> str:
+    chars, budget = scoring.part_chars(scoring.BUDGET), scoring.BUDGET
+    return f"""SELECT *, row_number() OVER (PARTITION BY {key}, batch ORDER BY ahead) - 1 AS slot FROM (SELECT *, CAST(ahead // {budget - budget // 4} AS BIGINT) AS batch FROM
+        (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY {key} ORDER BY {order}, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM
+         (SELECT * REPLACE (substr(text, part * {chars} + 1, {chars}) AS text), CAST(ceil(length(substr(text, part * {chars} + 1, {chars})) / {scoring.TOKEN_CHARS}) + {scoring.ITEM_TOKENS} AS BIGINT) AS tokens FROM
+          (SELECT *, unnest(range(0, CAST(greatest(ceil(length(text) / {chars}), 1) AS BIGINT))) AS part FROM {rows}))))"""
+
+
+cte("turns", "SELECT role, conv_id, turn, coalesce(text, '') AS text FROM conversations")
+cte("batched", _batched_sql("turns", "role", "conv_id, turn"))
 cte(
     "prompts",
     "SELECT role, batch, count(*) AS segments, concat('Analyse the following segments.', chr(10), string_agg(concat('Segment ', slot + 1, ': ', text), chr(10) ORDER BY slot), chr(10), 'Reply with JSON.') AS prompt FROM batched GROUP BY role, batch",
@@ -366,9 +369,28 @@ cte(
 )
 
 
-@query("v1_batch_packing", "SELECT role, conv_id, turn, CAST(batch AS BIGINT) AS batch, CAST(slot AS BIGINT) AS slot FROM batched")
+@query("v1_batch_packing", "SELECT role, conv_id, turn, CAST(part AS INT) AS part, tokens, batch, slot FROM batched")
+def _(c):
+    return c.batched.select("role", "conv_id", "turn", "part", "tokens", "batch", "slot")
+
+
+_PLACE = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, (k, _) in enumerate(scoring.PARTS)) + " END"
+_HEAD = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{h}'" for k, h in scoring.PARTS) + " END"
+cte(
+    "project_items",
+    f"""SELECT repo, {_PLACE} AS place, kind, text, text AS name FROM (SELECT DISTINCT repo, kind, text FROM (SELECT repo, kind, item AS text FROM items UNION ALL SELECT repo, 'segment', concat_ws(' ', segment_type, name) FROM segments) WHERE text <> '')""",
+)
+cte("project_batches", _batched_sql("project_items", "repo", "place, name"))
+
+
+@query(
+    "v2_project_prompts",
+    f"""SELECT repo, batch, count(*) AS items, CAST(sum(tokens) AS BIGINT) AS tokens, md5(concat('Analyse the following segments.', chr(10), string_agg(concat(head, '- ', text), chr(10) ORDER BY slot), chr(10), 'Reply with JSON.')) AS prompt_md5
+        FROM (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY repo, batch ORDER BY slot) = kind THEN '' ELSE concat({_HEAD}, ':', chr(10)) END AS head FROM project_batches) GROUP BY repo, batch""",
+)
 def _(c):
-    return c.batched.select("role", "conv_id", "turn", "batch", "slot")
+    batched = scoring.batches(scoring.project_items(c.items, c.segments), "repo", ["place", "name"])
+    return scoring.project_prompts(batched).select("repo", "batch", "items", "tokens", F.md5("prompt").alias("prompt_md5"))
 
 
 @query("v2_prompt_assembly", "SELECT role, CAST(batch AS BIGINT) AS batch, segments, md5(prompt) AS prompt_md5 FROM prompts")
