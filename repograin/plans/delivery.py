@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from repograin.functions.scores import r6
 from repograin.operators import components as comp_ops
-from repograin.operators import corrections, crossrepo, exports, history, insights, run_metrics, scoring
+from repograin.operators import corrections, crossrepo, exports, history, insights, reports, run_metrics, scoring
 from repograin.plans import context as context_plan  # noqa: F401
-from repograin.plans.base import case_any, case_map, cte, fold, frame, has_any, q, query, rnd, values
+from repograin.plans.base import ORACLES, case_any, case_map, cte, fold, frame, has_any, q, query, rnd, values
 from repograin.rules import code as K
 from repograin.rules import context as X
 from repograin.session import cut_lineage
@@ -700,3 +700,31 @@ def _(c):
     n = c.stories.groupBy("repo").agg(F.count("*").alias("stories"))
     wide = c.ecosystem.select("repo", "ecosystem").join(c.types.select("repo", "project_type"), "repo").join(comp_ops.completion(c.components).select("repo", F.col("total").alias("components")), "repo").join(n, "repo")
     return wide.select("repo", F.to_json(F.struct("ecosystem", "project_type", "components", "stories")).alias("json"))
+
+
+_FACTS = "(SELECT repo, fact, value FROM (" + ORACLES["k4_report_facts"] + "))"
+cte(
+    "report_rows",
+    f"""SELECT repo, 0 AS section, concat(fact, ': ', value) AS line FROM {_FACTS}
+        UNION ALL SELECT repo, 1, concat(name, ' (', component_type, ', ', status, ')') FROM components
+        UNION ALL SELECT repo, 2, concat(a.method, ' ', a.endpoint) FROM (SELECT repo, unnest(api_calls) AS a FROM components)
+        UNION ALL SELECT repo, 3, concat(title, ' [', priority, '] ', status) FROM stories
+        UNION ALL SELECT repo, 4, concat(name, ' [', effort, ']') FROM tasks""",
+)
+
+
+def _report(c):
+    return reports.rows(exports.report_facts(c.components, c.stories, c.tasks), c.components, comp_ops.endpoints(c.components), c.stories, c.tasks)
+
+
+@query("k4_report_lists", "SELECT repo, section, line, count(*) AS n FROM report_rows GROUP BY ALL")
+def _(c):
+    return _report(c).groupBy("repo", "section", "line").agg(F.count("*").alias("n"))
+
+
+@query("k1_report_sink", "SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY section, line) AS line_no, section, line FROM report_rows")
+def _(c):
+    """Does each written report come back whole and in order?"""
+    from repograin.session import new_folder
+
+    return reports.write(_report(c), new_folder(c.spark, "report")).numbered(c.spark)
