@@ -95,12 +95,12 @@ def candidates(profile: DataFrame, detected: DataFrame) -> DataFrame:
         base = F.when(F.col("business_type") == label, value) if base is None else base.when(F.col("business_type") == label, value)
     hinted = lambda w, d: F.when(F.exists("domain_hints", lambda h: F.lower(h).contains(w)), F.lit(d))
     extra = F.array_compact(F.array(hinted("notification", "Notification"), hinted("file", "FileManagement")))
-    return profile.join(known, "repo", "left").withColumn("business_type", kind).select("repo", "business_type", F.slice(F.array_distinct(F.concat(base, extra)), 1, 3).alias("candidates"))
+    return profile.join(known, "repo", "left").withColumn("business_type", kind).select("repo", "business_type", F.array_distinct(F.concat(base, extra)).alias("candidates"))
 
 
 @operator("domains.capabilities")
 def capabilities(profile: DataFrame, entries: DataFrame) -> DataFrame:
-    """At most four capability labels from entry points and hints."""
+    """Capability labels from entry points (a fixed list of paths) and hints."""
     p = F.lower("path")
     per = F.array_compact(F.array(
         F.when(contains_any(p, ["main", "app"]), "Core Application Logic"), F.when(contains_any(p, ["server", "api"]), "API Services"), F.when(contains_any(p, ["cli", "command"]), "Command Line Interface"),
@@ -108,7 +108,7 @@ def capabilities(profile: DataFrame, entries: DataFrame) -> DataFrame:
     found = entries.select("repo", F.posexplode(per).alias("pos", "label"), "path").groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("path", "pos", "label"))).alias("ls"))
     labels = F.transform(F.coalesce("ls", F.array().cast("array<struct<path:string,pos:int,label:string>>")), lambda x: x["label"])
     both = F.concat(labels, F.transform("domain_hints", lambda h: F.concat(F.lit("Business Logic: "), h)))
-    return profile.join(found, "repo", "left").select("repo", F.slice(F.when(F.size(both) == 0, F.array(F.lit("General Application Functions"))).otherwise(both), 1, 4).alias("capabilities"))
+    return profile.join(found, "repo", "left").select("repo", F.when(F.size(both) == 0, F.array(F.lit("General Application Functions"))).otherwise(both).alias("capabilities"))
 
 
 @operator("domains.semantics")
@@ -137,12 +137,12 @@ def align(sem: DataFrame, primary: DataFrame) -> DataFrame:
 
 @operator("domains.validate")
 def validate(cands: DataFrame, aligned: DataFrame) -> DataFrame:
-    """Candidate share plus summed evidence; the best three, if at least 0.3."""
+    """Candidate share plus summed evidence, by rank, if at least 0.3."""
     base = cands.select("repo", F.explode("candidates").alias("domain"), F.lit(3000).cast("bigint").alias("p"))
     more = aligned.select("repo", "domain", (F.col("milli") * 6 * F.col("n")).cast("bigint").alias("p"))
     total = base.unionByName(more).groupBy("repo", "domain").agg(F.sum("p").alias("p"))
     w = Window.partitionBy("repo").orderBy(F.desc("p"), "domain")
-    top = total.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= 3) & (F.col("p") >= 3000))
+    top = total.withColumn("rank", F.row_number().over(w)).where(F.col("p") >= 3000)
     return top.select("repo", "domain", "rank", (F.col("p") / 10000.0).alias("confidence"))
 
 
@@ -212,15 +212,15 @@ def best(repos: DataFrame, config: DataFrame) -> DataFrame:
 
 @operator("domains.purpose")
 def purpose(chosen: DataFrame, rows: DataFrame) -> DataFrame:
-    """Domain name and description with up to five endpoints and three dependencies as evidence."""
-    def first(kind, n):
-        w = Window.partitionBy("repo").orderBy("item")
-        top = rows.where(F.col("kind") == kind).select("repo", "item").distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
-        return top.groupBy("repo").agg(F.array_sort(F.collect_list("item")).alias(kind))
-
+    """Domain name and description, and how many endpoints and dependencies are evidence; :func:`purpose_evidence` has them all."""
     names = {k: v[0] for k, v in B.CONFIG.items()} | {B.GENERAL[0]: B.GENERAL[1]}
     texts = {k: v[1] for k, v in B.CONFIG.items()} | {B.GENERAL[0]: B.GENERAL[2]}
-    none = F.array().cast("array<string>")
-    out = chosen.join(first("endpoint", 5), "repo", "left").join(first("dependency", 3), "repo", "left")
-    return out.select("repo", "domain", lookup(F.col("domain"), names).alias("name"), lookup(F.col("domain"), texts).alias("description"),
-                      F.coalesce("endpoint", none).alias("endpoints"), F.coalesce("dependency", none).alias("dependencies"))
+    n = purpose_evidence(rows).groupBy("repo").agg(F.count_if(F.col("kind") == "endpoint").alias("endpoints"), F.count_if(F.col("kind") == "dependency").alias("dependencies"))
+    return chosen.join(n, "repo", "left").fillna(0, ["endpoints", "dependencies"]).select(
+        "repo", "domain", lookup(F.col("domain"), names).alias("name"), lookup(F.col("domain"), texts).alias("description"), "endpoints", "dependencies")
+
+
+@operator("domains.purpose_evidence")
+def purpose_evidence(rows: DataFrame) -> DataFrame:
+    """(repo, kind, item): every distinct endpoint and dependency, as rows, so that no repository is gathered."""
+    return rows.where(F.col("kind").isin("endpoint", "dependency") & F.col("item").isNotNull()).select("repo", "kind", "item").distinct()

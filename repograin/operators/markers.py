@@ -136,8 +136,8 @@ def by_topic(todos: DataFrame) -> DataFrame:
 
 @operator("markers.placeholders")
 def placeholders(todos: DataFrame) -> DataFrame:
-    """Open TODOs as placeholder features: first three words and an urgency."""
-    name = F.array_join(F.slice(words(F.col("description")), 1, 3), " ")
+    """Open TODOs as placeholder features: the words of their description and an urgency."""
+    name = F.array_join(words(F.col("description")), " ")
     return todos.where(F.col("marker") == "TODO").select(
         "repo", "path", "line_no", name.alias("feature_name"), F.col("marker").alias("placeholder_type"),
         "description", urgency(F.col("priority")).alias("urgency_score"),

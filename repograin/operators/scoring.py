@@ -160,7 +160,7 @@ def parse(replies: DataFrame) -> DataFrame:
         "*", F.when(body.isNotNull(), "json").otherwise("text").alias("form"),
         F.when(body.isNotNull(), first["primary_domain"]).otherwise(keyword_domain(F.col("reply"))).alias("domain"),
         F.when(body.isNotNull(), F.coalesce(first["confidence"], F.lit(0.0))).otherwise(FALLBACK_CONFIDENCE).alias("confidence"),
-        F.when(body.isNull(), F.left("reply", F.lit(100))).alias("evidence"),
+        F.when(body.isNull(), F.col("reply")).alias("evidence"),
     )
 
 

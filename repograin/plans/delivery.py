@@ -420,7 +420,7 @@ def _(c):
 
 
 _PARSED = f"""SELECT id, role, CASE WHEN {_ISJ} THEN 'json' ELSE 'text' END AS form, CASE WHEN {_ISJ} THEN json_extract_string({_JS}, '$.segments[0].primary_domain') ELSE {case_any("lower(reply)", scoring.DOMAIN_KEYWORDS, None)} END AS domain,
-    CASE WHEN {_ISJ} THEN coalesce(CAST(json_extract_string({_JS}, '$.segments[0].confidence') AS DOUBLE), 0e0) ELSE 5e-1 END AS confidence, CASE WHEN NOT {_ISJ} THEN left(reply, 100) END AS evidence FROM replies"""
+    CASE WHEN {_ISJ} THEN coalesce(CAST(json_extract_string({_JS}, '$.segments[0].confidence') AS DOUBLE), 0e0) ELSE 5e-1 END AS confidence, CASE WHEN NOT {_ISJ} THEN reply END AS evidence FROM replies"""
 cte("parsed", _PARSED)
 
 

@@ -192,7 +192,7 @@ _BASE = "CASE business_type " + " ".join(f"WHEN {q(t)} THEN [{', '.join(q(x) for
 _EXTRA = lambda w, d: f"CASE WHEN len(list_filter(domain_hints, lambda h: contains(lower(h), '{w}'))) > 0 THEN ['{d}'] ELSE [] END"
 cte(
     "candidates",
-    f"""SELECT repo, business_type, (base || list_filter({_EXTRA("notification", "Notification")} || {_EXTRA("file", "FileManagement")}, lambda x: NOT list_contains(base, x)))[1:3] AS candidates FROM
+    f"""SELECT repo, business_type, (base || list_filter({_EXTRA("notification", "Notification")} || {_EXTRA("file", "FileManagement")}, lambda x: NOT list_contains(base, x))) AS candidates FROM
         (SELECT *, {_BASE} AS base FROM (SELECT p.*, {_BT} AS business_type FROM profile AS p LEFT JOIN (SELECT repo, list(framework) AS known FROM dispatched GROUP BY repo) USING (repo)))""",
 )
 
@@ -204,7 +204,7 @@ def _(c):
 
 @query(
     "b5_business_capabilities",
-    """SELECT p.repo, array_to_string(CASE WHEN len(coalesce(ls, [])) + len(domain_hints) = 0 THEN ['General Application Functions'] ELSE (coalesce(ls, []) || list_transform(domain_hints, lambda h: concat('Business Logic: ', h)))[1:4] END, '|') AS capabilities FROM profile AS p
+    """SELECT p.repo, array_to_string(CASE WHEN len(coalesce(ls, [])) + len(domain_hints) = 0 THEN ['General Application Functions'] ELSE (coalesce(ls, []) || list_transform(domain_hints, lambda h: concat('Business Logic: ', h))) END, '|') AS capabilities FROM profile AS p
        LEFT JOIN (SELECT repo, list(label ORDER BY path, pos) AS ls FROM (SELECT repo, path, 0 AS pos, 'Core Application Logic' AS label FROM entries WHERE contains(lower(path), 'main') OR contains(lower(path), 'app')
          UNION ALL SELECT repo, path, 1, 'API Services' FROM entries WHERE contains(lower(path), 'server') OR contains(lower(path), 'api') UNION ALL SELECT repo, path, 2, 'Command Line Interface' FROM entries WHERE contains(lower(path), 'cli') OR contains(lower(path), 'command')) GROUP BY repo) USING (repo)""",
 )
@@ -222,7 +222,7 @@ cte(
 )
 cte(
     "validated",
-    "SELECT repo, domain, rank, p / 10000e0 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY p DESC, domain) AS rank FROM (SELECT repo, domain, CAST(sum(p) AS BIGINT) AS p FROM (SELECT repo, unnest(candidates) AS domain, 3000 AS p FROM candidates UNION ALL SELECT repo, domain, milli * 6 * n FROM aligned) GROUP BY repo, domain)) WHERE rank <= 3 AND p >= 3000",
+    "SELECT repo, domain, rank, p / 10000e0 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY p DESC, domain) AS rank FROM (SELECT repo, domain, CAST(sum(p) AS BIGINT) AS p FROM (SELECT repo, unnest(candidates) AS domain, 3000 AS p FROM candidates UNION ALL SELECT repo, domain, milli * 6 * n FROM aligned) GROUP BY repo, domain)) WHERE p >= 3000",
 )
 
 
@@ -310,13 +310,18 @@ def _(c):
 
 
 _NM = lambda i: case_map("domain", {k: v[i] for k, v in B.CONFIG.items()} | {B.GENERAL[0]: B.GENERAL[i + 1]})
-_TOP = lambda kind, n: f"coalesce((SELECT array_to_string(list(item ORDER BY item)[1:{n}], ',') FROM (SELECT DISTINCT repo, item FROM items WHERE kind = '{kind}') AS i WHERE i.repo = b.repo), '')"
+cte("purpose_evidence", "SELECT DISTINCT repo, kind, item FROM items WHERE kind IN ('endpoint', 'dependency') AND item IS NOT NULL")
+_NUM = lambda kind: f"(SELECT count(*) FROM purpose_evidence AS i WHERE i.repo = b.repo AND kind = '{kind}')"
 
 
-@query("b14_purpose_facts", f"SELECT repo, domain, {_NM(0)} AS name, {_NM(1)} AS description, {_TOP('endpoint', 5)} AS endpoints, {_TOP('dependency', 3)} AS dependencies FROM best_domain AS b")
+@query("b14_purpose_facts", f"SELECT repo, domain, {_NM(0)} AS name, {_NM(1)} AS description, {_NUM('endpoint')} AS endpoints, {_NUM('dependency')} AS dependencies FROM best_domain AS b")
 def _(c):
-    p = domains.purpose(domains.best(c.repos, domains.config_scores(c.items)), c.items)
-    return p.withColumn("endpoints", F.array_join("endpoints", ",")).withColumn("dependencies", F.array_join("dependencies", ","))
+    return domains.purpose(domains.best(c.repos, domains.config_scores(c.items)), c.items)
+
+
+@query("b14_purpose_evidence", "SELECT repo, kind, item FROM purpose_evidence")
+def _(c):
+    return domains.purpose_evidence(c.items)
 
 
 @query(

@@ -116,7 +116,7 @@ def _(c):
 
 @query(
     "t10_placeholder_list",
-    f"SELECT repo, path, line_no, array_to_string({words_sql('description')}[1:3], ' ') AS feature_name, marker AS placeholder_type, description, {_URGENCY} AS urgency_score FROM todos WHERE marker = 'TODO'",
+    f"SELECT repo, path, line_no, array_to_string({words_sql('description')}, ' ') AS feature_name, marker AS placeholder_type, description, {_URGENCY} AS urgency_score FROM todos WHERE marker = 'TODO'",
 )
 def _(c):
     return markers.placeholders(c.todos)
