@@ -94,9 +94,9 @@ def scored(rows: DataFrame) -> DataFrame:
         - F.when(F.array_min(sizes) < 10, 10).otherwise(0)
     )
     features = F.filter(
-        F.transform(F.slice("snippets", 1, 5), lambda s: F.array_join(F.slice(words(s), 1, 3), " ")), lambda s: s != ""
+        F.transform("snippets", lambda s: F.array_join(words(s), " ")), lambda s: s != ""
     )
-    named = F.slice(F.array_distinct(features), 1, 3)
+    named = F.array_distinct(features)
     phrase = lookup(kind, R.PHRASES)
     text = F.when(F.size(named) == 0, F.concat(phrase, F.lit(" implementation found"))).otherwise(F.concat_ws(" ", phrase, F.array_join(named, ", ")))
     return (

@@ -48,8 +48,8 @@ cte(
 cte(
     "file_evidence",
     f"""SELECT repo, path, type_no, reality_type, snippets, line_numbers, patterns, points, {_LEVEL} AS level, concat_ws(':', '0', path, type_no) AS impl_id,
-        concat({case_map("reality_type", R.PHRASES)}, ' ', array_to_string(list_filter(feats, lambda x, i: list_position(feats, x) = i)[1:3], ', ')) AS description FROM
-        (SELECT *, {_TYPE_NAME} AS reality_type, list_transform(snippets[1:5], lambda s: array_to_string({words_sql("s")}[1:3], ' ')) AS feats,
+        concat({case_map("reality_type", R.PHRASES)}, ' ', array_to_string(list_filter(feats, lambda x, i: list_position(feats, x) = i), ', ')) AS description FROM
+        (SELECT *, {_TYPE_NAME} AS reality_type, list_transform(snippets, lambda s: array_to_string({words_sql("s")}, ' ')) AS feats,
          least(greatest(30 + 10 * len(snippets) + CASE WHEN CAST(list_sum(list_transform(snippets, lambda s: strlen(s))) AS BIGINT) // len(snippets) > 50 THEN 20 ELSE 0 END
            + CASE WHEN type_no = 6 AND contains(path, 'test') THEN 30 ELSE 0 END + CASE WHEN type_no = 7 AND string_split(path, '/')[-1] = 'Dockerfile' THEN 40 ELSE 0 END
            - CASE WHEN list_min(list_transform(snippets, lambda s: strlen(s))) < 10 THEN 10 ELSE 0 END, 0), 100) AS points FROM
