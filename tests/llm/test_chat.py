@@ -112,5 +112,34 @@ def test_stretches_multiply():
     assert (np.minimum((a[:, :, None] + b[None]).min(axis=1), chat._FAR) == chat.costs(roles)).all()
 
 
+def test_partitions_do_not_matter(spark):
+    rng = random.Random(5)
+    rows = [(c, i, rng.choice(["user", "assistant", "system", "tool", None]), f"t{i}") for c in ("long", "other", None) for i in range(2_000 if c == "long" else 40)]
+    df = spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for parts in ("1", "8", "61"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append(sorted((tuple(r) for r in chat.repaired_turns(df).collect()), key=str))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert got[0] == got[1] == got[2]
+    plan = chat.repair([r[2] for r in rows if r[0] == "long"])
+    assert [(a, s) for a, s, _ in plan] == [(r[5], chat._STATE[r[4]]) for r in sorted((r for r in got[0] if r[0] == "long" and r[3] == 1), key=lambda r: r[1])]
+
+
+def test_cuts_do_not_matter():
+    rng = random.Random(6)
+    for _ in range(500):
+        roles = [rng.choice(["system", "user", "assistant", "tool", None]) for _ in range(rng.randint(2, 12))]
+        cut = rng.randrange(1, len(roles))
+        after = chat.to_go(roles[cut:])[0]
+        left = chat.repair(roles[:cut], chat.START, after)
+        assert left + chat.repair(roles[cut:], left[-1][1]) == chat.repair(roles)
+
+
 def test_empty_table(spark):
     assert chat.repaired_turns(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).collect() == []
