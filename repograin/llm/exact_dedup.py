@@ -59,8 +59,22 @@ def members(hashes: DataFrame, rows: int) -> tuple[DataFrame, int]:
     return saved(masks, "bloom"), words
 
 
+def bounded_filter(hashes: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """A filter of the values of column ``h`` that occur again, small enough for a broadcast whatever the number of rows.
+
+    Where the filter of the cells grows over the bound, it meets the bare hashes by shuffle; those that truly
+    repeat then make a filter of at most ``FILTER_WORDS`` words. The more of them, the more other rows pass it.
+    """
+    bloom, words = repeated_cells(hashes, rows)
+    if words <= FILTER_WORDS:
+        return bloom, words
+    again = probe(hashes.select("h"), F.col("h"), bloom, words).where("maybe").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    again = saved(again, "repeated")
+    return members(again, again.count())
+
+
 def probe(df: DataFrame, h: Column, bloom: DataFrame, words: int) -> DataFrame:
-    """``df`` with the column ``maybe``: true if the row's text may occur again."""
+    """``df`` with the column ``maybe``: true if the row's text may occur again. ``df`` has no column _w, _m or _b."""
     small = hinted(bloom.select(F.col("word").alias("_w"), F.col("mask").alias("_m")), bloom.count(), FILTER_WORDS)
     keyed = df.withColumn("_w", _word(h, words)).withColumn("_b", _bits(h))
     return keyed.join(small, "_w", "left").withColumn("maybe", F.coalesce(F.col("_m").bitwiseAND(F.col("_b")) == F.col("_b"), F.lit(False))).drop("_w", "_m", "_b")
@@ -76,7 +90,7 @@ def verdicts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """
     rows = df.select(F.col(key).alias("key"), F.unhex(F.sha2(normalized(F.col(text)), 256)).alias("sha"))
     rows = saved(rows.withColumn("h", F.xxhash64("sha")).withColumn("place", F.monotonically_increasing_id()), "hashes")
-    bloom, words = repeated_cells(rows, rows.count())
+    bloom, words = bounded_filter(rows, rows.count())
     tested = probe(rows, F.col("h"), bloom, words)
     alone = tested.where(~F.col("maybe")).select("key", F.col("key").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     again = tested.where("maybe").select("key", "sha", "place")
@@ -89,22 +103,21 @@ def verdicts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; texts that cannot repeat are never shuffled.
+    """The rows that stay, with all their columns; texts that the filter rejects are never shuffled, at any size.
 
     Equal texts with the smallest key twice are one row in the result: the one
     with the smallest original text, then the smallest hash of the other columns.
+    A null text is the empty text, a null key comes last, an empty table stays
+    empty. Other columns may have any names.
     """
-    columns = df.columns
     h = F.xxhash64(normalized(F.col(text)))
     hashes = saved(df.select(h.alias("h")), "hashes")
-    bloom, words = repeated_cells(hashes, hashes.count())
-    tested = probe(df.withColumn("_h", h), F.col("_h"), bloom, words)
-    alone = tested.where(~F.col("maybe")).select(*columns)
+    bloom, words = bounded_filter(hashes, hashes.count())
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    order = F.struct(F.col(key).isNull(), F.col(key), F.col(text).isNull(), F.col(text), F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
-    again = (
-        tested.where("maybe").groupBy(F.sha2(normalized(F.col(text)), 256).alias("_sha"))
-        .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), order).alias("_row"))
-        .select("_row.*")
-    )
+    own = F.col("row")
+    order = F.struct(own[key].isNull(), own[key], own[text].isNull(), own[text], F.xxhash64(*[own[c] for c in plain]))
+    tested = probe(df.select(h.alias("h"), row.alias("row")), F.col("h"), bloom, words)
+    alone = tested.where(~F.col("maybe")).select("row.*")
+    again = tested.where("maybe").groupBy(F.sha2(normalized(own[text]), 256)).agg(F.min_by("row", order).alias("kept")).select("kept.*")
     return alone.unionByName(again)
