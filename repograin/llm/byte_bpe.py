@@ -212,7 +212,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
 
 def recode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``df`` without its text, with ``ids`` and ``decoded``, both from one pass over the texts."""
+    """``df`` without its text, with ``ids`` and ``decoded``, both from one pass over the texts.
+
+    A null text counts as empty. Columns of ``df`` named ``ids`` or ``decoded`` are replaced.
+    """
 
     def run(texts: list) -> list[pa.Array]:
         own = vocabulary(path)

@@ -22,6 +22,9 @@ DIMENSIONS = 512
 GRAM = 3  # letters
 SEED = 20_240_501
 UNKNOWN = "und"
+SAMPLE = 2_000  # labelled texts from which the least score is learned
+VARIED = 100  # different grams; texts of fewer say too little to be called unlike every language
+REACHED, LEAST = 0.999, 0.5  # the least score is this part of the one that so many of them reach
 _BLOCK = 1 << 19  # code points that are looked at together; longer texts are read in pieces
 
 
@@ -126,7 +129,9 @@ def prototypes(labelled: DataFrame, text: str, lang: str) -> dict[str, np.ndarra
 
 
 def identify(df: DataFrame, model: dict[str, np.ndarray], text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``df`` (its text only if asked for) with ``lang_pred`` and ``score``, the cosine with the nearest prototype, 0 at least.
+    """``df`` (its text only if asked for) with ``lang_pred``, ``score`` and ``grams``, the number of different grams.
+
+    ``score`` is the cosine with the nearest prototype, 0 at least. Columns of ``df`` with these names are replaced.
 
     A text that is null or has no letter is ``und`` with score 0, and so is
     every text if nothing was learned. Of equally near languages the first by
@@ -139,7 +144,7 @@ def identify(df: DataFrame, model: dict[str, np.ndarray], text: str = "text", ke
 
     def nearest(texts: list) -> list[pa.Array]:
         known = state.setdefault("grams", Grams())
-        pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        pred, score, varied = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
         for run in _chunks(texts) if names else ():
             parts = [gram_counts(t) for _, t in run]
             grams, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
@@ -152,12 +157,13 @@ def identify(df: DataFrame, model: dict[str, np.ndarray], text: str = "text", ke
                 if own.size:
                     bundle = (counts.astype(np.float32) @ vectors[place[at : at + own.size]]).astype(np.float64)
                     at += own.size
+                    varied[i] = own.size
                     near = unit @ bundle / max(np.linalg.norm(bundle), 1e-9)
                     best = int(np.argmax(near))
                     pred[i], score[i] = names[best], min(max(float(near[best]), 0.0), 1.0)
-        return [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+        return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(varied, pa.int32())]
 
-    return made_columns(df, text, {"lang_pred": "string", "score": "double"}, nearest, keep_text)
+    return made_columns(df, text, {"lang_pred": "string", "score": "double", "grams": "int"}, nearest, keep_text)
 
 
 def held_out(key: Column) -> Column:
@@ -165,7 +171,29 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
+    """Prototypes of the labelled rows that are not held out and have a key."""
+    return prototypes(_labelled(df, key, text, lang), text, lang)
+
+
+def _labelled(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    return df.where(~held_out(F.col(key)) & F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
+
+
+def least_score(df: DataFrame, model: dict[str, np.ndarray], key: str = "doc_id", text: str = "text", lang: str = "lang") -> float:
+    """The score below which a text of ``VARIED`` grams counts as unlike all languages: ``LEAST`` of what nearly all labelled ones reach.
+
+    Learned from ``SAMPLE`` labelled rows that are not held out, those with the smallest hashes of key and text; 0 without such rows.
+    """
+    rows = _labelled(df, key, text, lang).select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("u"))
+    low = rows.select("u").orderBy("u").limit(SAMPLE).agg(F.max("u")).first()[0]
+    if low is None:
+        return 0.0
+    scores = identify(rows.where(F.col("u") <= low).select("text"), model, "text", False).where(F.col("grams") >= VARIED)
+    reached = scores.agg(F.percentile_approx("score", 1 - REACHED, 10_000)).first()[0]
+    return LEAST * (reached or 0.0)
+
+
 def learn_and_identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
     """``df`` with ``held_out, lang_pred, score``; learns from the labelled rows that are not held out and have a key."""
-    labelled = df.where(~held_out(F.col(key)) & F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    return identify(df.withColumn("held_out", held_out(F.col(key))), prototypes(labelled, text, lang), text, keep_text)
+    return identify(df.withColumn("held_out", held_out(F.col(key))), learn(df, key, text, lang), text, keep_text)

@@ -68,11 +68,15 @@ class Mix:
     count: int
 
     def apply(self, df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-        """``df`` with ``source_size, target, copies``; the rows keep their places."""
-        small = hinted(self.sources.withColumnRenamed("source", "_source"), self.count, BROADCAST_SOURCES)
-        joined = df.withColumn("_u", key_hash(F.col(key))).join(small, F.col(source).eqNullSafe(F.col("_source")), "left")
-        under = (F.col("_u") < F.col("threshold")) | ((F.col("_u") == F.col("threshold")) & F.col("closed"))
-        return joined.withColumn("copies", F.col("rounds") + F.coalesce(under, F.lit(False)).cast("long")).drop("_u", "_source", "rounds", "threshold", "closed", "weight")
+        """``df`` with ``source_size, target, copies``; the rows keep their places.
+
+        Columns of ``df`` with one of these three names are replaced; all others pass, whatever their names.
+        """
+        rest = [F.col(f"`{c}`") for c in df.columns if c not in ("source_size", "target", "copies")]
+        packed = df.select(key_hash(F.col(key)).alias("u"), F.col(source).alias("own"), F.struct(*rest).alias("row"))
+        joined = packed.join(hinted(self.sources, self.count, BROADCAST_SOURCES), F.col("own").eqNullSafe(F.col("source")), "left")
+        under = (F.col("u") < F.col("threshold")) | ((F.col("u") == F.col("threshold")) & F.col("closed"))
+        return joined.select("row.*", "source_size", "target", (F.col("rounds") + F.coalesce(under, F.lit(False)).cast("long")).alias("copies"))
 
 
 def _narrow(rows: DataFrame, states: DataFrame, count: int, level: int) -> tuple[DataFrame, DataFrame]:

@@ -5,9 +5,10 @@ import re
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from repograin.llm import byte_bpe
+from repograin.llm import byte_bpe, exact_dedup
 from tests_llm_helpers import mixed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -62,3 +63,44 @@ def test_empty_table_passes_through(spark, docs):
     df = docs([])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df, "").collect() == []
+
+
+def test_stages_pass_columns_of_any_name(spark, docs):
+    rows, _ = fixture()
+    df = docs(rows)
+    names = ["score", "held_out", "lang_pred", "grams", "rest", "row", "h", "_h", "_w", "_b", "_m", "maybe", "sha", "_sha", "order", "kept", "_gone", "_mark", "key", "mark", "digest",
+             "rounds", "_source", "source_size", "target", "copies", "threshold", "closed", "own", "u", "ids", "decoded", "before", "a.b"]
+    wide = df.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns and out.schema.simpleString() == wide.schema.simpleString()
+        got = out.collect()
+        assert got and all(r[n] == f"{n}:{r.doc_id}" for r in got for n in names)
+        assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in stage(spark, df, "").collect())
+    assert len(corpus_pipeline.encoded(spark, wide, "").collect()) == len(rows)
+
+
+def test_varied_gibberish_goes_and_short_texts_stay(spark, docs):
+    rows, _ = fixture()
+    rng = np.random.default_rng(3)
+    noise = " ".join("".join(map(chr, rng.integers(0x4E00, 0x9FFF, 6))) for _ in range(80))
+    df = docs([*rows, (7001, noise, None, "s1"), (7002, "xq zv", None, "s1"), (7003, "zq " * 500, None, "s1")])
+    left = {r.doc_id for r in corpus_pipeline.known_language(spark, df, "").collect()}
+    assert left == {r[0] for r in rows if r[0] < 5000} | {7002, 7003}
+
+
+def test_text_meets_the_filter_by_broadcast_at_any_size(spark, docs, monkeypatch):
+    rows, _ = fixture()
+    df = docs(rows * 2)
+    want = sorted(map(str, exact_dedup.keep_first(df).collect()))
+    monkeypatch.setattr(exact_dedup, "FILTER_WORDS", 16)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = exact_dedup.keep_first(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert sorted(map(str, out.collect())) == want
+        assert len(exact_dedup.verdicts(df).collect()) == 2 * len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
