@@ -210,7 +210,8 @@ def _first_story(components: DataFrame) -> DataFrame:
     present["API"] = F.col("API") & ~(F.col("User") | F.col("Property") | F.col("Location") | F.col("Image"))
     rows = [
         F.when(present[g], F.struct(F.lit(i).alias("rank"), F.lit("").alias("path"), F.lit(title).alias("title"), F.lit(p).alias("priority"), F.lit(x).alias("complexity"),
-                                    F.col(f"{g}_status").alias("status"), F.array(*[F.lit(t) for t in criteria]).alias("criteria"), F.lit(g).alias("story_group")))
+                                    F.col(f"{g}_status").alias("status"), F.array(*[F.lit(t) for t in criteria]).alias("criteria"), F.lit(g).alias("story_group"),
+                                    F.lit(K.STORY_SENTENCES[i]).alias("description")))
         for i, (g, title, p, x, criteria) in enumerate(K.STORIES)
     ]
     return has.select("repo", F.explode(F.array_compact(F.array(*rows))).alias("s")).select("repo", "s.*")
@@ -227,10 +228,14 @@ def _named_stories(components: DataFrame, with_templates: DataFrame) -> DataFram
         F.when(service & (lang == "python"), F.format_string("Access %s functionality", name)).when(service, F.format_string("Use %s service", name))
         .when(display, F.format_string("View %s interface", name)).when(plain, F.format_string("Use %s", name))
     )
+    sentence = (
+        F.when(service & (lang == "python"), F.format_string(K.PYTHON_SERVICE_SENTENCE, name)).when(service, F.format_string(K.JAVA_SERVICE_SENTENCE, name))
+        .when(display, F.format_string(K.DISPLAY_SENTENCE, name)).when(plain, F.format_string(K.PLAIN_SENTENCE, name, F.lower("purpose")))
+    )
     size = F.when(service, F.when(cx > 50, "Complex").otherwise("Medium")).when(display, F.when(cx > 40, "Complex").otherwise("Simple")).otherwise(F.when(cx > 60, "Complex").otherwise("Medium"))
     return flagged.where(service | display | plain).select(
         "repo", F.lit(100).alias("rank"), "path", title.alias("title"), F.lit("Medium").alias("priority"), size.alias("complexity"), "status",
-        F.when(service, text(K.SERVICE_CRITERIA)).otherwise(text(K.DISPLAY_CRITERIA)).alias("criteria"), name.alias("story_group"),
+        F.when(service, text(K.SERVICE_CRITERIA)).otherwise(text(K.DISPLAY_CRITERIA)).alias("criteria"), name.alias("story_group"), sentence.alias("description"),
     )
 
 
@@ -260,6 +265,7 @@ def tasks(components: DataFrame) -> DataFrame:
     rows = components.where(todo | doing).select(
         "repo", "path", F.when(todo, F.format_string("Implement %s", "name")).otherwise(F.format_string("Complete %s", "name")).alias("name"), "status",
         F.when(todo, F.when(F.col("complexity") > 50, "Large").otherwise("Medium")).otherwise("Small").alias("effort"), F.lit("Medium").alias("priority"),
+        F.concat(F.when(todo, "Complete").otherwise("Finish"), F.lit(" implementation of "), "name", F.lit(" component")).alias("description"),
     )
     return running_number(rows, ["repo"], ["path"], "n").withColumn("id", F.format_string("T-%03d", F.col("n")))
 

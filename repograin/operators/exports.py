@@ -39,14 +39,36 @@ def feature_status(components: DataFrame) -> DataFrame:
 
 @operator("exports.tracker")
 def tracker(stories: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Issues for High and Critical stories, tickets for Critical tasks."""
+    """Issues for High and Critical stories, tickets for Critical tasks, each with its body.
+
+    A story's components are rows of their own (``issue_components``), as one story may have any number of them.
+    """
+    numbered = F.array_join(F.transform("criteria", lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t)), "\n")
+    body = F.concat(
+        F.lit("**User Story**: "), "description", F.lit("\n\n## Acceptance Criteria\n\n"), numbered,
+        F.lit("\n\n**Priority**: "), "priority", F.lit("\n**Complexity**: "), "complexity", F.lit("\n**Status**: "), "status")
     s = stories.where(F.col("priority").isin("High", "Critical")).select(
-        "repo", F.lit("issue").alias("kind"), "id", "title", F.to_json(F.struct(F.col("title").alias("title"), F.array(F.lit("user-story"), F.concat(F.lit("priority:"), F.lower("priority"))).alias("labels"))).alias("payload")
+        "repo", F.lit("issue").alias("kind"), "id", "title",
+        F.to_json(F.struct(F.col("title").alias("title"), body.alias("body"), F.array(F.lit("user-story"), F.concat(F.lit("priority:"), F.lower("priority"))).alias("labels"))).alias("payload")
     )
-    t = tasks.where(F.col("priority") == "Critical").select(
-        "repo", F.lit("ticket").alias("kind"), "id", F.col("name").alias("title"), F.to_json(F.struct(F.col("name").alias("title"), F.array(F.lit("task")).alias("labels"))).alias("payload")
+    return s.unionByName(tickets(tasks))
+
+
+@operator("exports.tickets")
+def tickets(tasks: DataFrame) -> DataFrame:
+    """``repo, kind, id, title, payload`` of the Critical ones of ``repo, id, name, description, status, effort, priority``."""
+    body = F.concat(
+        F.lit("*Task Description*: "), "description", F.lit("\n\n*Priority*: "), "priority", F.lit("\n*Status*: "), "status", F.lit("\n*Effort Estimate*: "), "effort")
+    return tasks.where(F.col("priority") == "Critical").select(
+        "repo", F.lit("ticket").alias("kind"), "id", F.col("name").alias("title"), F.to_json(F.struct(F.col("name").alias("title"), body.alias("body"), F.array(F.lit("task")).alias("labels"))).alias("payload")
     )
-    return s.unionByName(t)
+
+
+@operator("exports.issue_components")
+def issue_components(stories: DataFrame, related: DataFrame) -> DataFrame:
+    """``repo, id, component, component_path`` of the stories that become issues."""
+    issues = stories.where(F.col("priority").isin("High", "Critical")).select("repo", "id")
+    return related.join(issues, ["repo", "id"], "left_semi").select("repo", "id", "component", "component_path")
 
 
 @operator("exports.report_facts")

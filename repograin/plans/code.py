@@ -342,15 +342,17 @@ cte("story_has", "SELECT repo, " + ", ".join(f"bool_or(coalesce(g = '{g}', FALSE
 cte("group_status", f"SELECT repo, g, {_ROLL} AS status FROM comp_groups WHERE language = 'typescript' AND g IS NOT NULL GROUP BY repo, g")
 cte(
     "template_stories",
-    f"""SELECT h.repo, t.rank, '' AS path, t.title, t.priority, t.complexity, s.status, t.g AS story_group FROM story_has AS h, {values([(i, g, t, p, x) for i, (g, t, p, x, _) in enumerate(K.STORIES)], "rank, g, title, priority, complexity", "t")}
+    f"""SELECT h.repo, t.rank, '' AS path, t.title, t.priority, t.complexity, s.status, t.g AS story_group, t.description FROM story_has AS h, {values([(i, g, t, p, x, K.STORY_SENTENCES[i]) for i, (g, t, p, x, _) in enumerate(K.STORIES)], "rank, g, title, priority, complexity, description", "t")}
         JOIN group_status AS s ON s.repo = h.repo AND s.g = t.g WHERE CASE t.g WHEN 'User' THEN has_User WHEN 'Property' THEN has_Property AND NOT has_User WHEN 'Location' THEN has_Location WHEN 'Image' THEN has_Image
           ELSE has_API AND NOT (has_User OR has_Property OR has_Location OR has_Image) END""",
 )
 cte(
     "named_stories",
-    """SELECT repo, 100 AS rank, path, CASE WHEN svc AND language = 'python' THEN concat('Access ', name, ' functionality') WHEN svc THEN concat('Use ', name, ' service') WHEN disp THEN concat('View ', name, ' interface') ELSE concat('Use ', name) END AS title, 'Medium' AS priority,
-       CASE WHEN svc THEN CASE WHEN complexity > 50 THEN 'Complex' ELSE 'Medium' END WHEN disp THEN CASE WHEN complexity > 40 THEN 'Complex' ELSE 'Simple' END ELSE CASE WHEN complexity > 60 THEN 'Complex' ELSE 'Medium' END END AS complexity, status, name AS story_group FROM
-       (SELECT *, component_type = 'Service' AND language IN ('python', 'java') AS svc, component_type = 'Display' AND language = 'python' AS disp,
+    f"""SELECT repo, 100 AS rank, path, CASE WHEN svc AND language = 'python' THEN concat('Access ', name, ' functionality') WHEN svc THEN concat('Use ', name, ' service') WHEN disp THEN concat('View ', name, ' interface') ELSE concat('Use ', name) END AS title, 'Medium' AS priority,
+       CASE WHEN svc THEN CASE WHEN complexity > 50 THEN 'Complex' ELSE 'Medium' END WHEN disp THEN CASE WHEN complexity > 40 THEN 'Complex' ELSE 'Simple' END ELSE CASE WHEN complexity > 60 THEN 'Complex' ELSE 'Medium' END END AS complexity, status, name AS story_group,
+       CASE WHEN svc THEN replace(CASE language WHEN 'python' THEN {q(K.PYTHON_SERVICE_SENTENCE)} ELSE {q(K.JAVA_SERVICE_SENTENCE)} END, '%s', name) WHEN disp THEN replace({q(K.DISPLAY_SENTENCE)}, '%s', name)
+         ELSE concat({", name, ".join(q(x) for x in K.PLAIN_SENTENCE.split("%s")[:2])}, lower(purpose)) END AS description FROM
+       (SELECT *, {_PURPOSE} AS purpose, component_type = 'Service' AND language IN ('python', 'java') AS svc, component_type = 'Display' AND language = 'python' AS disp,
         language = 'typescript' AND complexity > 30 AND repo NOT IN (SELECT repo FROM template_stories) AS plain FROM components) WHERE svc OR disp OR plain""",
 )
 cte(
@@ -371,6 +373,11 @@ cte(
 )
 
 
+@query("m15_story_sentences", "SELECT repo, id, title, description FROM stories")
+def _(c):
+    return c.stories.select("repo", "id", "title", "description")
+
+
 @query("m16_tasks", "SELECT repo, id, name, status, effort FROM tasks")
 def _(c):
     return c.tasks.select("repo", "id", "name", "status", "effort")

@@ -7,6 +7,7 @@ from repograin.operators import components as comp_ops
 from repograin.operators import corrections, crossrepo, exports, history, insights, reports, run_metrics, scoring
 from repograin.plans import context as context_plan  # noqa: F401
 from repograin.plans.base import ORACLES, case_any, case_map, cte, fold, frame, has_any, q, query, rnd, values
+from repograin.plans.markers import _EFFORT
 from repograin.rules import code as K
 from repograin.rules import context as X
 from repograin.session import cut_lineage
@@ -673,11 +674,44 @@ def _(c):
     return exports.feature_status(c.components)
 
 
-@query("k3_tracker_payloads", "SELECT repo, 'issue' AS kind, id, title, concat('{\"title\":\"', title, '\",\"labels\":[\"user-story\",\"priority:', lower(priority), '\"]}') AS payload FROM stories WHERE priority IN ('High', 'Critical')")
+_NUMBERED = case_map("title", {t: "\n".join(f"{i}. {x}" for i, x in enumerate(cs, 1)) for _, t, _, _, cs in K.STORIES})
+_BODY = (
+    f"concat('**User Story**: ', description, {q(chr(10) * 2 + '## Acceptance Criteria' + chr(10) * 2)}, {_NUMBERED}, {q(chr(10) * 2)}, '**Priority**: ', priority, {q(chr(10))}, "
+    f"'**Complexity**: ', complexity, {q(chr(10))}, '**Status**: ', status)"
+)
+
+
+@query(
+    "k3_tracker_payloads",
+    f"SELECT repo, 'issue' AS kind, id, title, CAST(json_object('title', title, 'body', {_BODY}, 'labels', ['user-story', concat('priority:', lower(priority))]) AS VARCHAR) AS payload FROM stories WHERE priority IN ('High', 'Critical')",
+)
 def _(c):
     return exports.tracker(c.stories, c.tasks)
 
 
+@query(
+    "k3_marker_tickets",
+    f"""SELECT repo, 'ticket' AS kind, id, name AS title, CAST(json_object('title', name, 'body', concat('*Task Description*: ', description, {q(chr(10) * 2)}, '*Priority*: Critical', {q(chr(10))}, '*Status*: Todo', {q(chr(10))}, '*Effort Estimate*: ', effort), 'labels', ['task']) AS VARCHAR) AS payload
+        FROM (SELECT repo, concat(path, ':', line_no, ':', column_no) AS id, concat('Resolve ', marker, ' in ', path) AS name, description, {_EFFORT} AS effort FROM todos WHERE priority = 'Critical')""",
+)
+def _(c):
+    """Which urgent work markers become tickets?"""
+    from repograin.operators import markers
+
+    tasks = c.todos.select(
+        "repo", F.concat_ws(":", "path", "line_no", "column_no").alias("id"), F.concat(F.lit("Resolve "), "marker", F.lit(" in "), "path").alias("name"),
+        "description", F.lit("Todo").alias("status"), markers.effort(F.col("description")).alias("effort"), "priority")
+    return exports.tickets(tasks)
+
+
+@query(
+    "k3_issue_components",
+    "SELECT s.repo, s.id, c.component, c.component_path FROM stories AS s JOIN story_components AS c ON c.repo = s.repo AND c.id = s.id WHERE s.priority IN ('High', 'Critical')",
+)
+def _(c):
+    return exports.issue_components(c.stories, c.story_components)
+
+
 @query(
     "k4_report_facts",
     """SELECT repo, fact, value FROM (SELECT repo, count(*) AS components, (SELECT count(*) FROM seg_lines AS l WHERE l.repo = c.repo) AS lines, count(*) FILTER (status = 'Complete') AS complete, (SELECT count(*) FROM stories AS s WHERE s.repo = c.repo) AS stories,

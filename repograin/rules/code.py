@@ -156,6 +156,21 @@ STORIES = [
         "RESTful endpoints follow standard HTTP methods and status codes",
     ]),
 ]
+# sentences of the stories above, in their order
+STORY_SENTENCES = [
+    "As an end user, I want to register for an account and authenticate securely so that I can access protected features and maintain my personal data",
+    "As an authenticated user, I want to manage my profile information and account settings so that I can keep my data current and customize my experience",
+    "As a client application, I want secure session and token management so that I can maintain user authentication state and handle token refresh seamlessly",
+    "As a property manager, I want to create, update, and manage property listings so that I can efficiently handle real estate inventory and provide accurate information to potential buyers or renters",
+    "As a property seeker (buyer/renter), I want to search for properties using various criteria so that I can find properties that match my specific needs and preferences",
+    "As a system user, I want accurate geographic and address information for properties so that I can provide location-based services and help users find properties in desired areas",
+    "As a property manager, I want to upload, organize, and display high-quality images of properties so that potential buyers/renters can get a comprehensive visual understanding of the property",
+    "As an API consumer (frontend application, mobile app, or third-party service), I want access to a reliable REST API so that I can integrate with the system's data and functionality",
+]
+PYTHON_SERVICE_SENTENCE = "As a user, I want to access %s service functionality"
+JAVA_SERVICE_SENTENCE = "As a user, I want to use %s service functionality"
+DISPLAY_SENTENCE = "As a user, I want to interact with %s interface"
+PLAIN_SENTENCE = "As a system user, I want to access %s capabilities so that I can %s"
 SERVICE_CRITERIA = ["%s service responds correctly", "Service handles errors gracefully", "Service provides expected functionality"]
 DISPLAY_CRITERIA = ["%s displays correctly", "Interface is responsive and user-friendly", "All interactive elements work as expected"]
 
