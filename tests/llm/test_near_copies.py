@@ -82,3 +82,23 @@ def test_groups_and_common_passages_equal_all_pairs(docs, monkeypatch):
 def test_prefix_size():
     for n in range(1, 400):
         assert near_copies.prefix_size(n, 0.8) == n - -(-4 * n // 5) + 1
+
+
+def test_profiles_bound_what_sets_share():
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 700, 90_000):
+        pool = np.unique(rng.integers(0, 2**63, 2 * n).astype(np.uint64))
+        for part in (1.0, 0.8, 0.4, 0.0):
+            a = np.sort(pool[:n])
+            b = np.sort(pool[n - int(part * n) :][:n])
+            counts = [np.frombuffer(near_copies.profile(s), np.uint8)[None] for s in (a, b)]
+            bound = near_copies.most_shared(*counts, np.array([len(a)]), np.array([len(b)]))[0]
+            assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
+    assert bound < 90_000 or counts[0].max() == 255
+
+
+def test_repeated_rows_stay_or_go_together(docs):
+    rng = np.random.default_rng(6)
+    base = words_of(rng, 60)
+    rows = [(1, " ".join(base))] * 3 + [(2, " ".join(base[:58]))] * 4 + [(3, " ".join(words_of(rng, 50)))] * 2
+    assert kept(docs, rows) == [1, 1, 1, 3, 3]
