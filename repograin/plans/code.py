@@ -14,7 +14,7 @@ from repograin.session import cut_lineage
 
 @frame("segments")
 def _(c):
-    return segments.framework(segments.extract(c.files), c.dispatched)
+    return cut_lineage(segments.framework(segments.extract(c.files), c.dispatched))
 
 
 @frame("components")
