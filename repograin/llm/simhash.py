@@ -66,6 +66,11 @@ def simhash(text: str | None, shingle: int = SHINGLE, longs: int = 1, repeats: b
     return b"".join(np.packbits(_bit_counts(_other_hash(hashes, i)) * 2 > len(hashes)).tobytes() for i in range(longs))
 
 
+def set_print(hashes: np.ndarray) -> bytes:
+    """The fingerprint of a set of shingle hashes."""
+    return np.packbits(_bit_counts(hashes) * 2 > len(hashes)).tobytes()
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, longs: int = 1, repeats: bool = True) -> DataFrame:
     """``df`` without its text, with ``out``: the fingerprint as bytes."""
 
@@ -225,5 +230,5 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The rows that stand for their class of near copies, by exact similarity; see ``near_copies``."""
-    return near_copies.keep_one(df, key, text, similarity, shingle)
+    """The rows that stand for their class of near copies: found by fingerprint, and by shingle where those differ more; decided by exact similarity; see ``near_copies``."""
+    return near_copies.keep_one(df, set_print, lambda prints: links(prints, block_tables(), RADIUS), key, text, similarity, shingle)
