@@ -18,3 +18,11 @@ def test_sets_that_meet_each_other_give_each_pair_once(spark):
     name = {r.sid: "".join(r.tokens) for r in df.collect()}
     got = [sorted((name[r.l_sid], name[r.r_sid])) for r in similar_ids(df, None, ["repo"], 0.3).collect()]
     assert sorted(got) == [["abc", "abcd"], ["abc", "abxy"], ["abcd", "abxy"]]
+
+
+def test_only_prefixes_leave_the_row(spark):
+    words = [f"w{i}" for i in range(100)]
+    df = spark.createDataFrame([("r", words), ("r", words[1:])], "repo string, tokens array<string>").withColumn("sid", set_id(F.col("tokens")))
+    plan = similar_ids(df, None, ["repo"], 0.7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate explode") == 2  # no token is ranked by a shuffle of all tokens
+    assert similar_ids(df, None, ["repo"], 0.7).count() == 1
