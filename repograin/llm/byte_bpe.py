@@ -17,6 +17,7 @@ import base64
 import os
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +42,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class _Known(dict):
+    """Encodings by word; one that is not there is made by ``make``."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        return self.make(word)
+
+
 class Vocabulary:
     """Ranks of a byte-level vocabulary, and the encodings of words met so far."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.pair_ranks = [[ranks.get(bytes((a, b)), _NEVER) for b in range(256)] for a in range(256)]
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known, self.older = _Known(self.word), _Known(self.word)
         self.stays = lru_cache(50_000)(self._stays)
 
     # words ------------------------------------------------------------------
@@ -58,20 +70,16 @@ class Vocabulary:
         """Merge the lowest-ranked neighbours, the first of equals, until none can merge."""
         if len(data) > LEAF_WINDOW:
             return self._heap(data)
-        get, parts = self.ranks.get, [data[i : i + 1] for i in range(len(data))]
-        pairs = [get(data[i : i + 2], _NEVER) for i in range(len(data) - 1)]
-        while pairs:
-            best = min(pairs)
-            if best == _NEVER:
-                break
+        get, pairs = self.ranks.get, [self.pair_ranks[a][b] for a, b in pairwise(data)]
+        ends = list(range(len(data) + 1))  # where tokens begin and end
+        while pairs and (best := min(pairs)) != _NEVER:
             i = pairs.index(best)
-            parts[i] += parts.pop(i + 1)
-            del pairs[i]
+            del pairs[i], ends[i + 1]
             if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], _NEVER)
+                pairs[i] = get(data[ends[i] : ends[i + 2]], _NEVER)
             if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], _NEVER)
-        return [self.ranks[p] for p in parts]
+                pairs[i - 1] = get(data[ends[i - 1] : ends[i + 1]], _NEVER)
+        return [self.ranks[data[a:b]] for a, b in pairwise(ends)]
 
     def _heap(self, data: bytes) -> list[int]:
         """The same for long windows, with a heap of pairs and linked parts."""
@@ -126,7 +134,7 @@ class Vocabulary:
             whole = self.ranks.get(data)
             found = (whole,) if whole is not None else tuple(self._tree(data))
         if len(self.known) >= KNOWN_WORDS:
-            self.known, self.older = {}, self.known
+            self.known, self.older = _Known(self.word), self.known
         if len(word) <= 64:
             self.known[word] = found
         return found
@@ -168,10 +176,7 @@ class Vocabulary:
         return self._join_words(self.words(text[:half]), self.words(text[half:]))
 
     def encode(self, text: str) -> np.ndarray:
-        ids: list[int] = []
-        for w in self.words(text):
-            ids += self.known.get(w) or self.word(w)
-        return np.array(ids, np.int32)
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, self.words(text))), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) <= LEAF_IDS:

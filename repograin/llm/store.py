@@ -34,5 +34,6 @@ def made_columns(df: DataFrame, source: str, made: dict[str, str], make: Callabl
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *make(part.column(read).to_pylist())], [*kept, *made])
+        pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
     return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, schema)

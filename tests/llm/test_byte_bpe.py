@@ -69,3 +69,16 @@ def test_remembered_words_are_bounded(vocabulary, monkeypatch):
     before = vocabulary.encode("one two three four five six seven eight nine ten eleven twelve")
     assert len(vocabulary.known) <= 10
     assert np.array_equal(before, vocabulary.encode("one two three four five six seven eight nine ten eleven twelve"))
+
+
+def test_known_words_are_not_looked_up_one_by_one(vocabulary, library):
+    text = "the same words again and again " * 50 + "ünknown" + "x" * 60
+    vocabulary.known.clear()
+    vocabulary.older.clear()
+    made = []
+    vocabulary.known.make = lambda word: made.append(word) or vocabulary.word(word)
+    try:
+        assert vocabulary.encode(text).tolist() == library.encode_ordinary(text)
+    finally:
+        vocabulary.known.make = vocabulary.word
+    assert len(made) == len(set(vocabulary.words(text)))
