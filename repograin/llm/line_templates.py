@@ -52,9 +52,9 @@ def line_templates(df: DataFrame, key: str = "doc_id", text: str = "text", suppo
     """
     spoken = numbered_lines(df, key, text).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     placed = spoken.withColumn("words", tokens(F.col("line"))).select("key", "line_no", leaf(F.col("words")).alias("leaf"), "words")
-    # leaves that lie in several documents; the least and the largest key tell without a set of keys
-    spread = placed.groupBy("leaf").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max(F.col("key").isNull()).alias("none"))
-    shared = saved(spread.where("low < high or (none and low is not null)").select("leaf"), "leaves")
+    # leaves that lie in several documents; the least and the largest key tell without a set of keys. With fewer lines than ``support`` no word of a leaf recurs enough
+    spread = placed.groupBy("leaf").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max(F.col("key").isNull()).alias("none"), F.count("*").alias("lines"))
+    shared = saved(spread.where("low < high or (none and low is not null)").where(F.col("lines") >= support).select("leaf"), "leaves")
     leaves = shared.count()
     bloom, size = members(shared.withColumnRenamed("leaf", "h"), leaves)
     near = probe(placed, F.col("leaf"), bloom, size).where("maybe").drop("maybe")  # keeps most other lines from being shuffled
@@ -62,9 +62,9 @@ def line_templates(df: DataFrame, key: str = "doc_id", text: str = "text", suppo
     # equal lines of a leaf are looked at once per document, then once altogether
     shapes = lines.select("key", "leaf", "words").distinct().groupBy("leaf", "words").agg(F.count("*").alias("n"))
     shapes = saved(shapes.withColumn("shape", F.monotonically_increasing_id()), "shapes")
-    places = shapes.select("leaf", F.posexplode("words").alias("at", "word"), "n").groupBy("leaf", "at", "word").agg(F.sum("n").alias("n"))
-    kept = places.where((F.col("n") >= support) & (F.col("word") != WILD)).drop("n")
-    spots = shapes.select("shape", "leaf", F.posexplode("words").alias("at", "word"))
+    places = shapes.select("leaf", F.posexplode("words").alias("at", "word"), "n").where(F.col("word") != WILD).groupBy("leaf", "at", "word").agg(F.sum("n").alias("n"))
+    kept = places.where(F.col("n") >= support).drop("n")
+    spots = shapes.select("shape", "leaf", F.posexplode("words").alias("at", "word")).where(F.col("word") != WILD)
     fixed = spots.join(kept, ["leaf", "at", "word"]).groupBy("shape").agg(F.collect_list("at").alias("fixed"))  # at most the line's tokens
     general = F.transform("words", lambda w, i: F.when(F.array_contains("fixed", i), w).otherwise(WILD))
     templates = saved(

@@ -57,3 +57,12 @@ def test_lines_are_cut_out(docs):
 def test_empty_table(docs):
     assert line_templates.line_templates(docs([])).collect() == []
     assert line_templates.without_recurring(docs([])).collect() == []
+
+
+def test_leaves_with_too_few_lines_are_not_looked_at(docs, monkeypatch):
+    looked = {}
+    kept = line_templates.saved
+    monkeypatch.setattr(line_templates, "saved", lambda df, label="saved": looked.setdefault(label, kept(df, label)))
+    df = docs([(1, "a pair of lines\nthree of a kind"), (2, "a pair of lines\nthree of a kind"), (3, "three of a kind")])
+    assert line_templates.line_templates(df).count() == 3
+    assert looked["leaves"].count() == 1 and looked["lines"].count() == 3
