@@ -104,3 +104,17 @@ def test_text_meets_the_filter_by_broadcast_at_any_size(spark, docs, monkeypatch
         assert len(exact_dedup.verdicts(df).collect()) == 2 * len(rows)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_travel_to_python_in_small_batches(spark, tmp_path):
+    from repograin.llm.store import BATCH, small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, wanted in (("10000", BATCH), ("0", BATCH), ("7", 7)):
+            spark.conf.set(name, given)
+            small_batches(spark)
+            assert int(spark.conf.get(name)) == wanted
+    finally:
+        spark.conf.set(name, before)
