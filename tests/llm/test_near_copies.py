@@ -102,3 +102,10 @@ def test_repeated_rows_stay_or_go_together(docs):
     base = words_of(rng, 60)
     rows = [(1, " ".join(base))] * 3 + [(2, " ".join(base[:58]))] * 4 + [(3, " ".join(words_of(rng, 50)))] * 2
     assert kept(docs, rows) == [1, 1, 1, 3, 3]
+
+
+def test_sets_do_not_meet_at_a_shingle_that_comes_too_late_in_both(spark):
+    rows = [(1, a, 100, a, pos) for a, pos in ((1, 0), (2, 11), (3, 12), (4, 19))]  # 89 of 100 must be shared
+    members = spark.createDataFrame(rows, "token long, id long, n int, root long, pos int")
+    tokens = spark.createDataFrame([(1, 4)], "token long, many long")
+    assert sorted(map(tuple, near_copies._all_pairs(members, tokens, 0.8).collect())) == [(1, 2)]
