@@ -62,6 +62,7 @@ class Vocabulary:
         self.pair_ranks = [[ranks.get(bytes((a, b)), _NEVER) for b in range(256)] for a in range(256)]
         self.pattern = regex.compile(pattern)
         self.known, self.older = _Known(self.word), _Known(self.word)
+        self.most: int | None = None  # words to remember, where others need the memory; else KNOWN_WORDS
         self.stays = lru_cache(50_000)(self._stays)
 
     # words ------------------------------------------------------------------
@@ -133,7 +134,7 @@ class Vocabulary:
             data = word.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(data)
             found = (whole,) if whole is not None else tuple(self._tree(data))
-        if len(self.known) >= KNOWN_WORDS:
+        if len(self.known) >= (self.most or KNOWN_WORDS):
             self.known, self.older = _Known(self.word), self.known
         if len(word) <= 64:
             self.known[word] = found
@@ -216,14 +217,15 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return made_columns(df, ids, {out: "binary"}, run)
 
 
-def recode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+def recode(df: DataFrame, path: str, text: str = "text", known: int | None = None) -> DataFrame:
     """``df`` without its text, with ``ids`` and ``decoded``, both from one pass over the texts.
 
-    A null text counts as empty. Columns of ``df`` named ``ids`` or ``decoded`` are replaced.
+    A null text counts as empty. Columns of ``df`` named ``ids`` or ``decoded`` are replaced. ``known``: words a worker remembers, which bears on memory and speed only.
     """
 
     def run(texts: list) -> list[pa.Array]:
         own = vocabulary(path)
+        own.most = known
         ids = _ids(own, texts)
         return [ids, pa.array([own.decode(i.values.to_numpy()) for i in ids], pa.binary())]
 

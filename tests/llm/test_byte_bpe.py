@@ -82,3 +82,14 @@ def test_known_words_are_not_looked_up_one_by_one(vocabulary, library):
     finally:
         vocabulary.known.make = vocabulary.word
     assert len(made) == len(set(vocabulary.words(text)))
+
+
+def test_a_worker_remembers_no_more_words_than_asked_for(docs, vocabulary, monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(20)]
+    want = [vocabulary.encode(t).tolist() for t in texts]
+    vocabulary.known.clear()
+    vocabulary.older.clear()
+    monkeypatch.setattr(vocabulary, "most", 30)
+    assert [vocabulary.encode(t).tolist() for t in texts] == want and max(len(vocabulary.known), len(vocabulary.older)) <= 30
+    df = docs([(i, t) for i, t in enumerate(texts)])
+    assert sorted((r.doc_id, r.ids) for r in byte_bpe.recode(df, PATH, known=30).collect()) == list(enumerate(want))
